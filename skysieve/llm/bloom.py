@@ -50,9 +50,16 @@ class TwoFilters:
 
 
 def seen(array: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
-    """Whether each hash may be in the array."""
-    at = probes(hashes, bits)
-    return (array[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+    """Whether each hash may be in the array; later probes only look at what earlier ones left."""
+    left, step, mask = np.arange(len(hashes)), hashes >> np.uint64(32) | np.uint64(1), np.uint64(bits - 1)
+    at = hashes & np.uint64(0xFFFFFFFF)
+    for _ in range(PROBES):
+        place = at & mask
+        hit = (array[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        left, step, at = left[hit], step[hit], at[hit] + step[hit]
+    out = np.zeros(len(hashes), bool)
+    out[left] = True
+    return out
 
 
 def twice_seen(rows: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:

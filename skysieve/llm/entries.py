@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.llm import language, lines, simhash, toxicity
+from skysieve.llm import language, lines, mixing, simhash, templates, topk, toxicity, urls, warc
 from skysieve.llm.common import table
 
 
@@ -20,11 +20,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1,
+        "op2_template_decontamination": templates.op2,
+        "op4_warc_archive": warc.op4,
+        "op5_exact_top_k": topk.op5,
         "op6_line_dedup": lines.op6,
+        "op7_url_filter": urls.op7,
+        "op8_source_mixing": mixing.op8,
         "op9_simhash": op9,
         "op10_language": language.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": lines.ORACLE}
+    return {"op4_warc_archive": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_line_dedup": lines.ORACLE, "op7_url_filter": urls.ORACLE}
