@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.llm import language, lines, mixing, simhash, templates, topk, toxicity, urls, warc
+from skysieve.llm import language, lines, mixing, simhash, templates, tokencount, topk, toxicity, urls, warc
 from skysieve.llm.common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1,
         "op2_template_decontamination": templates.op2,
+        "op3_edit_token_counts": tokencount.op3,
         "op4_warc_archive": warc.op4,
         "op5_exact_top_k": topk.op5,
         "op6_line_dedup": lines.op6,
