@@ -30,8 +30,10 @@ DICTIONARY = 32 << 10
 CHUNK = 1_024
 #: Compression level, and the shortest match: short words must be found in a dictionary.
 LEVEL, MATCH = 5, 4
+#: The same for a second look at texts with a narrow margin: short and repetitive ones mostly.
+CLOSE_LEVEL, CLOSE_MATCH = 12, 3
 #: A best language that saves a smaller share of the second best's size is rejected.
-MARGIN = 0.002
+MARGIN = 0.001
 UNKNOWN = "und"
 
 
@@ -40,34 +42,39 @@ class LanguageModel:
     """Dictionaries by language; the compressors are made anew in each worker."""
 
     dictionaries: dict[str, bytes]
-    _made: list = field(default_factory=list, repr=False, compare=False)
+    _made: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return {"dictionaries": self.dictionaries, "_made": []}
+        return {"dictionaries": self.dictionaries, "_made": {}}
 
-    def _compressors(self) -> list:
-        if not self._made:
-            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=CHUNK, dict_size=DICTIONARY, min_match=MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    def _compressors(self, level: int, match: int) -> list:
+        if level not in self._made:
+            found = self._made[level] = []
+            how = zstandard.ZstdCompressionParameters.from_level(level, source_size=CHUNK, dict_size=DICTIONARY, min_match=match, write_content_size=False, write_checksum=False, write_dict_id=False)
             for name, raw in sorted(self.dictionaries.items()):
                 shared = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 shared.precompute_compress(compression_params=how)
-                self._made.append((name, zstandard.ZstdCompressor(dict_data=shared, compression_params=how)))
-        return self._made
+                found.append((name, zstandard.ZstdCompressor(dict_data=shared, compression_params=how)))
+        return self._made[level]
 
-    def sizes(self, text: str) -> dict[str, int]:
-        """Compressed bytes of the whole text by language."""
+    def sizes(self, text: str, level: int = LEVEL, match: int = MATCH) -> list[tuple[str, int]]:
+        """(language, compressed bytes of the whole text), smallest first."""
         chunks = [*pieces(text)]
-        return {name: sum(len(c.compress(x)) for x in chunks) for name, c in self._compressors()}
+        return sorted(((name, sum(len(c.compress(x)) for x in chunks)) for name, c in self._compressors(level, match)), key=lambda x: (x[1], x[0]))
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, relative margin of the best over the second best size)."""
         if not text or not self.dictionaries or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        order = sorted(self.sizes(text).items(), key=lambda x: (x[1], x[0]))
-        best = order[0][1]
-        score = 1 / sum(2.0 ** -min(60.0, (size - best) / 4) for _, size in order)
-        margin = (order[1][1] - best) / order[1][1] if len(order) > 1 else 1.0
-        return order[0][0], score, margin
+        order = self.sizes(text)
+        if _margin(order) < MARGIN:
+            order = self.sizes(text, CLOSE_LEVEL, CLOSE_MATCH)
+        score = 1 / sum(2.0 ** -min(60.0, (size - order[0][1]) / 4) for _, size in order)
+        return order[0][0], score, _margin(order)
+
+
+def _margin(order: list[tuple[str, int]]) -> float:
+    return (order[1][1] - order[0][1]) / order[1][1] if len(order) > 1 else 1.0
 
 
 #: ASCII letters in lower case; every other ASCII byte ends a word.

@@ -118,10 +118,12 @@ def strip_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", le
     return rows.select("row", "text", "digests").mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", least_docs: int = 10, least_chars: int = 1) -> DataFrame:
-    """`docs`, all columns, with `text_col` rewritten."""
+def dedup_lines(docs: DataFrame, text_col: str = "text", least_docs: int = 10, least_chars: int = 1, length_col: str | None = None) -> DataFrame:
+    """`docs`, all columns, with `text_col` rewritten and `length_col`, if named, set to its code points."""
     done = strip_lines(docs, frequent_lines(docs, text_col, least_docs, least_chars), text_col, least_chars)
-    return done.select(*[F.col("stripped.text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    text = F.col("stripped.text")
+    new = {text_col: text} | ({length_col: F.coalesce(F.length(text), F.lit(0)).cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
+    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
