@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skysieve.plans import sky_queries, table_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return sky_queries.QUERIES | table_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sky_queries.SQL | table_queries.SQL
