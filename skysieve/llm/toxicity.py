@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from skysieve.llm.common import fold, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-VOCABULARY = 512
-#: Words of fewer sampled positive texts tell nothing.
-LEAST = 3
+VOCABULARY = 1_024
+#: Words of fewer sampled positive texts tell nothing; nor do words whose rates differ by fewer standard errors.
+LEAST, LEAST_Z = 3, 4.0
 ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
 
 #: ASCII letters in lower case; other ASCII bytes end a word.
@@ -96,8 +96,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
         sizes = {r["positive"]: r["count"] for r in bags.groupBy("positive").count().collect()}
         p, u = max(1, sizes.get(True, 0)), max(1, sizes.get(False, 0))
         counts = bags.select("positive", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.count("*").alias("all"))
-        gap = F.abs(F.col("p") / p - (F.col("all") - F.col("p")) / u) / F.sqrt(F.col("all") / (p + u))
-        vocabulary = [bytes(r["w"]) for r in counts.where(F.col("p") >= LEAST).orderBy(gap.desc(), "w").limit(VOCABULARY).select("w").collect()]
+        rate = F.col("all") / (p + u)
+        error = F.sqrt(F.greatest(F.lit(1e-12), rate * (1 - rate) * (1 / p + 1 / u)))
+        counts = counts.withColumn("z", F.abs(F.col("p") / p - (F.col("all") - F.col("p")) / u) / error)
+        telling = counts.where((F.col("p") >= LEAST) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "w").limit(VOCABULARY)
+        vocabulary = [bytes(r["w"]) for r in telling.select("w").collect()]
         at = {w: i for i, w in enumerate(vocabulary)}
 
         def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
