@@ -172,7 +172,8 @@ def signed_edge_distance(x, y, nx, ny) -> Column:
     x, y, nx, ny = map(col, (x, y, nx, ny))
     inside = F.least(x - 1.0, nx - x, y - 1.0, ny - y)
     beyond = -F.least(F.abs(x - 1.0), F.abs(nx - x), F.abs(y - 1.0), F.abs(ny - y))
-    return F.when((x < 1.0) | (x > nx) | (y < 1.0) | (y > ny), beyond).otherwise(inside)
+    known = x.isNotNull() & y.isNotNull()  # least() would pass over a null
+    return F.when(known, F.when((x < 1.0) | (x > nx) | (y < 1.0) | (y > ny), beyond).otherwise(inside))
 
 
 def edge_class_px(distance, nx, ny, least_px: float = 200.0, least_share: float = 0.02) -> Column:

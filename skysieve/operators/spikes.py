@@ -33,7 +33,8 @@ class LineRule:
     offset: float = 15.3
 
     def hits(self, m: Column, d: Column) -> Column:
-        return m < self.slope * d + self.offset
+        # six decimals: a star on the line, up to the last bits of its distance, stays
+        return m < F.round(self.slope * d + self.offset, 6)
 
     def says(self, m: Column, d: Column) -> Column:
         return F.format_string(f"LINE(m*=%.2f < {self.slope:.3f}*%.1f+{self.offset:.2f}=%.2f)", m, d, self.slope * d + self.offset)
