@@ -262,7 +262,20 @@ def footprint_epoch(spark, d):
     return plates.covering_tile(catalogue(spark, d).select("cat_id", "ra", "dec"), t, "cat_id").select("cat_id", "tile_id")
 
 
-@query()
+_EDGES = """WITH pl AS (SELECT s_suppkey AS plate_id, ((s_suppkey * 7919) % 36000) / 100.0E0 AS ra0, (((s_suppkey * 104729) % 12000) - 6000) / 100.0E0 AS dec0 FROM supplier),
+t AS (SELECT plate_id, ra0, dec0, k, ra0 + k / 2.0E0 AS ra, radians(dec0) AS d0 FROM pl CROSS JOIN (SELECT unnest(range(-7, 8)) AS k)),
+s AS (SELECT *, radians(i * 0.25E0) AS x, radians(j * 0.25E0) AS y FROM t CROSS JOIN (SELECT unnest([-1, 0, 1]) AS i) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS j)),
+c AS (SELECT *, sqrt(x * x + y * y) AS rho, atan(sqrt(x * x + y * y)) AS c FROM s),
+w AS (SELECT *, CASE WHEN rho > 0 THEN asin(cos(c) * sin(d0) + y * sin(c) * cos(d0) / rho) ELSE d0 END AS d,
+  radians((((ra + CASE WHEN rho > 0 THEN degrees(atan2(x * sin(c), rho * cos(d0) * cos(c) - y * sin(d0) * sin(c))) ELSE 0 END - ra0 + 180.0E0) % 360.0E0) + 360.0E0) % 360.0E0 - 180.0E0) AS a FROM c),
+g AS (SELECT *, sin(d0) * sin(d) + cos(d0) * cos(d) * cos(a) AS depth FROM w),
+q AS (SELECT *, 7000.0E0 - cos(d) * sin(a) / depth * (180.0E0 / pi() * 3600.0E0) / 1.7E0 AS px, 7000.0E0 + (cos(d0) * sin(d) - sin(d0) * cos(d) * cos(a)) / depth * (180.0E0 / pi() * 3600.0E0) / 1.7E0 AS py FROM g),
+e AS (SELECT plate_id, k, min(CASE WHEN px < 1 OR px > 14000 OR py < 1 OR py > 14000 THEN -least(abs(px - 1), abs(14000 - px), abs(py - 1), abs(14000 - py)) ELSE least(px - 1, 14000 - px, py - 1, 14000 - py) END) AS m FROM q GROUP BY 1, 2)
+SELECT CAST(plate_id AS STRING) || '/' || CAST(k AS STRING) AS tile_id, plate_id, round(m, 3) AS px, round(m * 1.7E0, 3) AS arcsec,
+ CASE WHEN m < 0 THEN 'edge_touch' WHEN m >= 280 THEN 'core' ELSE 'near_edge' END AS class_px, CASE WHEN m < 0 THEN 'edge_touch' WHEN m * 1.7E0 >= 60 THEN 'core' ELSE 'near_edge' END AS class_arcsec FROM e"""
+
+
+@query(_EDGES)
 def plate_edge_class(spark, d):
     pl = read(spark, d, "supplier").selectExpr("s_suppkey AS plate_id", "((s_suppkey * 7919) % 36000) / 100.0E0 AS ra0", "(((s_suppkey * 104729) % 12000) - 6000) / 100.0E0 AS dec0", "14000 AS nx", "14000 AS ny", "1.7E0 AS arcsec_x", "1.7E0 AS arcsec_y")
     tiles = pl.select(F.explode(F.sequence(F.lit(-7), F.lit(7))).alias("k"), "plate_id", "ra0", "dec0").select(F.concat_ws("/", "plate_id", "k").alias("tile_id"), "plate_id", (F.col("ra0") + F.col("k") / 2.0).alias("ra"), F.col("dec0").alias("dec"))
