@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows and bytes of a batch between the JVM and Python, at most; long texts then bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches for all plans of this package."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of the data folder, pruned to `columns` if any are given."""
+    lean(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -24,6 +35,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
     Only where that setting is absent (a local test session) a temporary folder is made and set.
     """
+    lean(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="skysieve-")
