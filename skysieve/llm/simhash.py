@@ -33,6 +33,8 @@ SEED = 42
 SAMPLE = 32_768
 #: Owned fingerprints that a shard should hold.
 SHARD = 4_096
+#: Links that one task may contract (16 MB); more are contracted by joins between stored tables.
+LOCAL_LINKS = 1_000_000
 #: A block of owners x visitors of this size is compared bit by bit.
 BLOCK = 1 << 20
 _BITS = np.array([[i >> (7 - k) & 1 for k in range(8)] for i in range(256)], dtype=np.uint8)
@@ -174,8 +176,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round replaces a node's links by links to its smallest neighbour; it ends when all links point at a root.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "edges")
     before = _shape(edges)
+    if before[0] <= LOCAL_LINKS:
+        return edges.repartition(1).mapInArrow(_contract, "node long, root long")
     while before[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
@@ -192,6 +196,25 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest reachable node of a bounded number of links, by label spreading and pointer jumping."""
+    table = pa.Table.from_batches([*batches], pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    ends = np.concatenate([table.column(0).to_numpy(), table.column(1).to_numpy()])
+    nodes, codes = np.unique(ends, return_inverse=True)
+    u, v, label = codes[: len(table)], codes[len(table) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for side in (u, v, label[u], label[v]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["node", "root"])
+
+
 def _shape(edges: DataFrame) -> tuple:
     return tuple(edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

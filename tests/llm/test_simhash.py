@@ -104,7 +104,10 @@ def test_empty_table(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
-def test_components_chain(spark):
+@pytest.mark.parametrize("local", [0, 1_000_000])
+def test_components_chain(spark, monkeypatch, local):
+    monkeypatch.setattr(simhash, "LOCAL_LINKS", local)
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(k, 200) for k in range(201, 260)] + [(5, 5)], "a long, b long")
     found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
-    assert all(found[k] == 0 for k in range(1, 61)) and all(found[k] == 200 for k in range(201, 260))
+    assert all(found[k] == 0 for k in range(1, 61)) and all(found[k] == 200 for k in range(201, 260)) and 200 not in found
+    assert simhash.components(links.limit(0)).count() == 0
