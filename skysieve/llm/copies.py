@@ -6,10 +6,13 @@ MAX_BITS serve as one source of candidates, and banded minimum hashes as the oth
 hashes, each keyed by its LEAST smallest values, meet at similarity s with probability 1 - (1 - s^LEAST)^BANDS, 0.9993
 at 0.8. Every candidate is then verified on the whole shingle sets.
 
-Plan: equal shingle sets collapse first. Keys with at most ALL_PAIRS members give all pairs. Members of larger keys are
-compared with the key's smallest and largest id; what is linked to neither goes on alone to the next round, and after
-ROUNDS all remaining pairs of a key are compared, so no member is left out. Counting is map-side combined and hot keys
-are salted. Shingle sets are only made for documents that have a candidate.
+Plan: equal shingle sets collapse first. Keys with at most ALL_PAIRS members give all pairs. Members of larger keys go
+with their shingle sets to blocks of about BLOCK shingles, and a block gives a forest of the links between its
+components, so no pair becomes a row. A key is settled when all its members are in one component; keys come in TURNS,
+and what one turn links is settled in the next. Keys of more than one block that aren't settled then have every member
+outside the key's largest component compared with every other member, over pairs of blocks. So each pair of a key is
+either verified or in one component already. Counting is map-side combined and hot keys are salted. Shingle sets are
+only made for documents that have a candidate.
 
 Defined cases: null and empty texts have the empty set and are copies of each other; texts shorter than a shingle are
 one shingle; of a group the smallest id stays, of repeated rows of that id the first; an empty table gives an empty
@@ -21,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +35,11 @@ from skysieve.llm.simhash import components, fingerprint, near_links, shingle_ha
 
 WIDTH, SIMILARITY, MAX_BITS = 5, 0.8, 2
 BANDS, LEAST = 24, 6
-ALL_PAIRS, ROUNDS = 24, 3
+ALL_PAIRS = 24
+#: Shingles of a block of a large key, about.
+BLOCK = 1 << 18
+#: Sixths of the large keys that are taken together.
+TURNS = ((0,), (1, 2), (3, 4, 5))
 #: Copies of a hot lookup row that carries a shingle set.
 SPREAD = 64
 
@@ -74,18 +82,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
     return stored(rows.mapInArrow(run, f"id {kind}, same binary, fp long, n int, keys array<long>"), "sketches")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity."""
-    pairs = stored(pairs.where("a < b").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    kind = pairs.schema["a"].dataType.simpleString()
+def shingle_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, members binary) of the distinct ids `wanted`."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())], ["id", "members"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(bounded(wanted), "id", "left_semi")
-    found = stored(rows.mapInArrow(sets, f"id {kind}, members binary").dropDuplicates(["id"]), "sets")
+    return stored(rows.mapInArrow(sets, f"id {kind}, members binary").dropDuplicates(["id"]), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity."""
+    pairs = stored(pairs.where("a < b").distinct(), "pairs")
+    found = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col, width)
+    kind = pairs.schema["a"].dataType.simpleString()
     total = pairs.count()
     for side in ("a", "b"):
         uses = pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("uses"))
@@ -104,6 +117,61 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, widt
     return stored(pairs.select("a", "b", "m_a", "m_b").mapInArrow(check, f"a {kind}, b {kind}"), "links")
 
 
+def block_links(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A forest of the links between components, over all pairs of a block of (not empty) sets.
+
+    A member that has been compared with all others is done; once all others are in one component, no pair is left.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(codes.max() + 1, np.int32)
+    label, left, out = np.unique(roots, return_inverse=True)[1], np.ones(len(sets), bool), []
+    while True:
+        rest = np.nonzero(left & (label != np.bincount(label[left]).argmax()))[0]
+        if not len(rest):
+            return out
+        x = rest[0]
+        mine = codes[starts[x] : starts[x] + sizes[x]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[codes], starts, dtype=np.int64)
+        mark[mine] = 0
+        near = np.nonzero((both >= similarity * (sizes + sizes[x] - both) - 1e-9) & (label != label[x]))[0]
+        joined, first = np.unique(label[near], return_index=True)
+        out += [(ids[x], ids[y]) for y in near[first]]
+        label[np.isin(label, joined)] = label[x]
+        left[x] = False
+
+
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, key, root, major, weight, minor) of the members of keys with several components.
+
+    `major` is the root of the key's largest component, `weight` the shingles of the key and `minor` those outside it.
+    """
+    known = bounded(roots.select(F.col("node").alias("id"), "root"))
+    named = stored(members.join(known, "id", "left").select("id", "n", "key", F.coalesce("root", "id").alias("root")), "named")
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    keys = parts.groupBy("key").agg(F.sum("c").alias("k"), F.sum("w").alias("weight"), F.max(F.struct("c", "w", "root")).alias("top"), F.count("*").alias("several")).where("several > 1")
+    keys = keys.select("key", "k", "weight", (F.col("weight") - F.col("top.w")).alias("minor"), F.col("top.root").alias("major"))
+    found = salted_lookup(named, keys, ["key"], "k", named.count(), F.col("id")).where(F.col("k").isNotNull())
+    return stored(found.select("id", "key", "root", "major", "weight", "minor"), "unsettled")
+
+
+def linked(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the components of each block (key, i, j) of `placed`."""
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("id")
+        ids = frame["id"].to_numpy()
+        found = block_links(ids, frame["root"].to_numpy(), [np.frombuffer(x, np.uint64) for x in frame["members"]], similarity)
+        at = np.array(found, ids.dtype).reshape(-1, 2)
+        return pd.DataFrame({"a": at[:, 0], "b": at[:, 1]})
+
+    sets = shingle_sets(placed.select("id").distinct(), docs, id_col, text_col, width)
+    return stored(placed.join(sets, "id").groupBy("key", "i", "j").applyInPandas(links, f"a {kind}, b {kind}"), "links")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, root): every id with a smaller member in its group, and the group's smallest id."""
     sketch = sketches(docs, id_col, text_col, width)
@@ -122,35 +190,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     pairs = close.unionByName(equal)
 
     rows = one.select("id", "n", F.explode("keys").alias("key"))
-    roots = None
-    for turn in range(ROUNDS + 1):
-        total = rows.count()
-        stats = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("low"), F.max("id").alias("high")).where("k > 1")
-        joined = stored(salted_lookup(rows, stats, ["key"], "k", total, F.col("id")).where(F.col("k").isNotNull()), "members")
-        few, many = joined.where(F.col("k") <= ALL_PAIRS), joined.where(F.col("k") > ALL_PAIRS)
-        if turn == ROUNDS:
-            other = many.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"))
-            every = many.select("key", F.col("id").alias("a"), "n").join(other, "key").where("a < b").where(F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b"))
-            stars = every.select("a", "b")
-        else:
-            stars = many.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(many.select(F.col("id").alias("a"), F.col("high").alias("b")))
-        lists = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
-        each = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b")))))).alias("p")).select("p.*")
-        each = each.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b")
-        pairs = (pairs.unionByName(each) if turn == 0 else each).unionByName(stars)
-        new = verified(pairs, docs, id_col, text_col, width, similarity)
+    total = rows.count()
+    stats = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    joined = stored(salted_lookup(rows, stats, ["key"], "k", total, F.col("id")).where(F.col("k").isNotNull()), "members")
+    few, many = joined.where(F.col("k") <= ALL_PAIRS), joined.where(F.col("k") > ALL_PAIRS).select("id", "n", "key")
+    lists = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
+    each = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b")))))).alias("p")).select("p.*")
+    each = each.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9).select("a", "b")
+    roots = stored(components(verified(pairs.unionByName(each), docs, id_col, text_col, width, similarity)), "roots")
+
+    def contracted(placed: DataFrame) -> DataFrame:
         # what is known so far enters as its contracted links
-        roots = stored(components(new if roots is None else new.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))), "roots")
-        if turn == ROUNDS:
-            break
-        # members of large keys whose group isn't that of the key's smallest or largest id go on
-        lookup = bounded(roots)
-        named = many.join(lookup.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left")
-        named = named.join(lookup.select(F.col("node").alias("low"), F.col("root").alias("r_low")), "low", "left").join(lookup.select(F.col("node").alias("high"), F.col("root").alias("r_high")), "high", "left")
-        mine = F.coalesce("r", "id")
-        rows = stored(named.where((mine != F.coalesce("r_low", "low")) & (mine != F.coalesce("r_high", "high"))).select("id", "n", "key"), "rest")
-        if rows.isEmpty():
-            break
+        new = linked(placed, docs, id_col, text_col, width, similarity)
+        return stored(components(new.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))), "roots")
+
+    spot, blocks = F.xxhash64("id", "key"), F.ceil(F.col("weight") / BLOCK)
+    for turn in TURNS:
+        rest = unsettled(many.where(F.pmod("key", F.lit(6)).isin(*turn)), roots)
+        if not rest.isEmpty():
+            roots = contracted(rest.select("id", "root", "key", F.pmod(spot, blocks).alias("i"), F.lit(0).cast("long").alias("j")))
+    rest = unsettled(many, roots).where(F.col("weight") > BLOCK)
+    if not rest.isEmpty():
+        across = F.ceil(F.col("minor") / BLOCK)
+        every = rest.select("id", "root", "key", F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("i"), F.pmod(spot, blocks).alias("j"))
+        minor = rest.where("root <> major").select("id", "root", "key", F.pmod(spot, across).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
+        roots = contracted(every.unionByName(minor))
 
     copies = salted_lookup(sketch.select("id", "same"), firsts, ["same"], "copies", sketch.count(), F.xxhash64("id")).select("id", "first")
     lookup = bounded(roots.select(F.col("node").alias("first"), "root"))

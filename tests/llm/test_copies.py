@@ -54,6 +54,21 @@ def test_large_group_of_variants(spark, documents):
     assert got == brute_keep(rows)
 
 
+def test_variants_far_from_the_ends_of_a_key(spark, documents, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(2_000)]
+    base, rows = list(rng.choice(words, 200)), []
+    for k in range(640):
+        mine = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            mine[at] = f"v{rng.integers(1 << 40)}"
+        rows.append((k, " ".join(mine)))
+    want = brute_keep(rows)
+    assert {r["doc_id"] for r in copies.keep_one(documents(rows)).select("doc_id").collect()} == want
+    monkeypatch.setattr(copies, "BLOCK", 9_000)  # several blocks a key
+    assert {r["doc_id"] for r in copies.keep_one(documents(rows)).select("doc_id").collect()} == want
+
+
 def test_null_ids_and_extra_columns(spark, documents):
     from pyspark.sql import functions as F
 
