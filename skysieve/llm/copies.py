@@ -4,7 +4,9 @@ Two texts of similarity 0.8 differ in about ten of 64 fingerprint bits, too far
 useful radius (distances between unrelated texts spread over only four bits around 32). So the tree's links within
 MAX_BITS serve as one source of candidates, and banded minimum hashes as the other: BANDS permutations of the shingle
 hashes, each keyed by its LEAST smallest values, meet at similarity s with probability 1 - (1 - s^LEAST)^BANDS, 0.9993
-at 0.8. Every candidate is then verified on the whole shingle sets.
+at 0.8. That holds for large sets only, so pairs with a set below SHORT shingles meet by an exact prefix filter: of two
+sets of similarity s, each of n has a common one among its n - ceil(s n) + 1 smallest shingles. Every candidate is then
+verified on the whole shingle sets.
 
 Plan: equal shingle sets collapse first. Keys with at most ALL_PAIRS members give all pairs. Members of larger keys go
 with their shingle sets to blocks of about BLOCK shingles, and a block gives a forest of the links between its
@@ -21,6 +23,7 @@ table; rows with a null id are kept as they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from skysieve.llm.simhash import components, fingerprint, near_links, shingle_ha
 
 WIDTH, SIMILARITY, MAX_BITS = 5, 0.8, 2
 BANDS, LEAST = 24, 6
+#: Sets of fewer shingles find their partners by prefixes alone.
+SHORT = 30
 ALL_PAIRS = 24
 #: Shingles of a block of a large key, about.
 BLOCK = 1 << 18
@@ -62,8 +67,17 @@ def bands(found: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(np.ascontiguousarray(low[:, b]).tobytes(), b) - (1 << 63) for b in range(BANDS)]
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(id, same binary, fp, n, keys): digest of the shingle set, fingerprint, set size and band keys."""
+def candidate_keys(found: np.ndarray, similarity: float = SIMILARITY) -> list[int]:
+    """Keys of a sorted set: its prefix if a partner may be short, its bands if it isn't short itself."""
+    n, keys = len(found), []
+    if n * similarity <= SHORT:
+        prefix = found[: n - math.ceil(similarity * n - 1e-9) + 1]
+        keys = [xxhash.xxh64_intdigest(x.tobytes(), BANDS) - (1 << 63) for x in prefix]
+    return keys if n < SHORT else keys + bands(found)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, same binary, fp, n, keys): digest of the shingle set, fingerprint, set size and candidate keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +89,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) ->
                 same.append(xxhash.xxh3_128_digest(found.tobytes()))
                 fps.append(fingerprint(hashes))
                 sizes.append(len(found))
-                keys.append(bands(found))
+                keys.append(candidate_keys(found, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "same", "fp", "n", "keys"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -174,7 +188,7 @@ def linked(placed: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, root): every id with a smaller member in its group, and the group's smallest id."""
-    sketch = sketches(docs, id_col, text_col, width)
+    sketch = sketches(docs, id_col, text_col, width, similarity)
     firsts = sketch.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("n").alias("n"))
     firsts = stored(firsts, "firsts")
     one = sketch.join(firsts.select(F.col("first").alias("id"), F.col("same").alias("own")), "id").where(F.col("same") == F.col("own"))

@@ -69,6 +69,28 @@ def test_variants_far_from_the_ends_of_a_key(spark, documents, monkeypatch):
     assert {r["doc_id"] for r in copies.keep_one(documents(rows)).select("doc_id").collect()} == want
 
 
+def test_short_texts_that_differ_by_an_end_word(spark, documents):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in range(8, 15):
+        for _ in range(6):
+            text = [f"u{rng.integers(1 << 40)}" for _ in range(size)]
+            rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[:-1] if rng.integers(2) else text[1:]))]
+    assert {r["doc_id"] for r in copies.keep_one(documents(rows)).select("doc_id").collect()} == brute_keep(rows)
+
+
+def test_prefixes_meet_for_every_short_pair():
+    rng = np.random.default_rng(9)
+    for n in range(1, copies.SHORT):
+        for m in range(n, int(n / 0.8 + 1e-9) + 1):
+            for both in range(n + 1):
+                if both >= 0.8 * (n + m - both) - 1e-9:
+                    x = np.unique(rng.integers(0, 1 << 63, n + m, np.uint64))
+                    rng.shuffle(x)
+                    a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:both], x[n : n + m - both]]))
+                    assert set(copies.candidate_keys(a)) & set(copies.candidate_keys(b))
+
+
 def test_null_ids_and_extra_columns(spark, documents):
     from pyspark.sql import functions as F
 
