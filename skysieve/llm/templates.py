@@ -6,7 +6,9 @@ shorter items: the whole item) of the benchmark are hashed; documents' windows j
 than LITERALS literal words are left out unless the item has no other. Matches of a document and an item on one
 alignment must fill slots consistently: an item's slot value always meets the same document value; that catches
 re-parameterised questions, and leaves alone texts that only share a frame. An item counts as found when its consistent
-windows cover at least COVERAGE of all its windows.
+windows cover at least COVERAGE of all its windows, or, on absolute evidence, when one alignment matches RUN template
+words without a gap, or the words of its matched windows are RUN at least and COVERAGE of its words: a passage of a long
+item matches few of its windows, and one edited word breaks eight of them. Only windows of enough literals are evidence.
 
 Pass one over the documents tests window hashes against a Bloom array of the benchmark's (bounded size), so only likely
 matches leave the task; the hash join then is exact. Whole texts are read, no window is skipped.
@@ -32,6 +34,8 @@ from skysieve.llm.bloom import bits_for, probes, seen
 from skysieve.llm.common import bounded, drop_ids, stored, table
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Template words that are evidence by themselves.
+RUN = 13
 #: Share of an alignment's slot values that must be met by one document value each.
 CONSISTENT = 0.8
 #: Characters that are coded at a time.
@@ -150,30 +154,31 @@ def windows(codes: np.ndarray, width: int) -> np.ndarray:
     return total * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(width)
 
 
-def item_windows(text: str | None, width: int = WINDOW, literals: int = LITERALS) -> list[tuple[int, int, int, list[str]]]:
-    """(hash, width, position, slot values of the window) of an item."""
+def item_windows(text: str | None, width: int = WINDOW, literals: int = LITERALS) -> list[tuple[int, int, int, list[str], int]]:
+    """(hash, width, position, slot values of the window, words of the item or 0 if it lacks literals) of an item."""
     parts, values = template(text)
     if not parts:
         return []
     width = min(width, len(parts))
     hashes = windows(_codes(parts), width)
     solid = np.array([v == "" for v in values])
-    enough = [i for i in range(len(hashes)) if solid[i : i + width].sum() >= literals] or [*range(len(hashes))]
-    return [(int(hashes[i].view(np.int64)), width, i, [v for v in values[i : i + width] if v]) for i in enough]
+    enough = [i for i in range(len(hashes)) if solid[i : i + width].sum() >= literals]
+    words = len(parts) if enough else 0
+    return [(int(hashes[i].view(np.int64)), width, i, [v for v in values[i : i + width] if v], words) for i in enough or range(len(hashes))]
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(item, h, w, pos, slots, windows) with the item's number of windows."""
+    """(item, h, w, pos, slots, words, windows) with the item's number of words and of windows."""
     kind = benchmark.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, *x, len(found)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for found in [item_windows(t.as_py(), width)] for x in found]
-            types = (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item", "h", "w", "pos", "slots", "windows"])
+            types = (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item", "h", "w", "pos", "slots", "words", "windows"])
 
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, f"item {kind}, h long, w int, pos int, slots array<string>, windows int"), "windows")
+    return stored(rows.mapInArrow(run, f"item {kind}, h long, w int, pos int, slots array<string>, words int, windows int"), "windows")
 
 
 def _filter(found: DataFrame, bits: int) -> np.ndarray:
@@ -232,16 +237,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     likely = rows.mapInArrow(run, f"id {kind}, h long, at int, values array<string>")
     met = likely.join(bounded(items), "h").where(F.size("values") == F.size("slots"))
     pairs = F.collect_set(F.arrays_zip("slots", "values"))
-    aligned = met.groupBy("id", "item", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(pairs)).alias("filled"), F.first("windows").alias("windows"))
+    aligned = met.groupBy("id", "item", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set("pos").alias("places"), F.array_distinct(F.flatten(pairs)).alias("filled"), F.first("windows").alias("windows"), F.first("words").alias("words"), F.first("w").alias("w"))
     keys = F.size(F.array_distinct(F.transform("filled", lambda x: x["slots"])))
     aligned = aligned.where(F.size("filled") * CONSISTENT <= keys).withColumn("changed", F.exists("filled", lambda x: x["slots"] != x["values"]))
+    # word positions that the windows of an alignment cover, and the longest run of them
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("w") - 1))))
+    zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(state, p):
+        run = F.when(p == state["last"] + 1, state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    aligned = aligned.withColumn("covered", F.array_sort(covered)).withColumn("run", F.aggregate("covered", zero, step, lambda state: state["best"]))
     found = aligned.groupBy("id", "item").agg(
         F.first("windows").alias("n_windows"),
+        F.first("words").alias("words"),
+        F.max("run").alias("run"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_covered"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"),
         F.max(F.size("filled")).alias("n_slots"),
         F.bool_and("changed").alias("slots_changed"),
     )
-    return found.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    found = found.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    absolute = (F.col("words") > 0) & ((F.col("run") >= RUN) | (F.col("n_covered") >= RUN) & (F.col("n_covered") >= F.lit(coverage) * F.col("words")))
+    return found.where((F.col("coverage") >= coverage) | absolute).drop("words", "run", "n_covered")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

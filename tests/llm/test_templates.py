@@ -50,6 +50,19 @@ def test_inconsistent_slots_are_left_alone(spark, documents):
     assert templates.matches(documents([(1, item.replace("4", "9"))]), bench).count() == 1
 
 
+def test_partial_and_edited_items(spark, documents):
+    rng = np.random.default_rng(1)
+    long, short = _filler(rng, 59), _filler(rng, 35)
+    edited = short.split()
+    edited[11], edited[23] = "other", "word"
+    rows = [(1, _filler(rng) + " " + " ".join(long.split()[20:48]) + " " + _filler(rng)), (2, " ".join(edited)), (3, " ".join(long.split()[20:30]) + " " + _filler(rng))]
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    got = templates.matches(documents(rows), bench)
+    assert got.columns == ["id", "item", "n_windows", "n_matched", "n_slots", "slots_changed", "coverage"]
+    assert {(r["id"], r["item"]): r["n_matched"] for r in got.collect()} == {(1, 1): 21, (2, 2): 12}
+    assert {r["doc_id"] for r in templates.clean(documents(rows), bench).collect()} == {3}
+
+
 def test_empty_tables(spark, documents):
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     assert templates.matches(documents([]), bench).count() == 0
