@@ -17,8 +17,9 @@ either verified or in one component already. Counting is map-side combined and h
 only made for documents that have a candidate.
 
 Defined cases: null and empty texts have the empty set and are copies of each other; texts shorter than a shingle are
-one shingle; of a group the smallest id stays, of repeated rows of that id the first; an empty table gives an empty
-table; rows with a null id are kept as they are.
+one shingle; of a group the smallest id stays, of its rows of one text one; rows of an id with different texts are
+different documents, and where they are copies of each other one of them stays; an empty table gives an empty table;
+rows with a null id are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysieve.llm.common import bounded, salted_lookup, stored
+from skysieve.llm.common import bounded, drop_ids, salted_lookup, stored
 from skysieve.llm.simhash import components, fingerprint, near_links, shingle_hashes
 
 WIDTH, SIMILARITY, MAX_BITS = 5, 0.8, 2
@@ -237,8 +238,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, all columns as they are, with one document of each group: the one with the smallest id."""
-    from skysieve.llm.common import drop_ids
-
+    repeated = stored(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__k")).where("__k > 1").select(id_col), "repeated")
+    if not repeated.isEmpty():
+        return _keep_one_row(docs, repeated, id_col, text_col, width, similarity)
     found = groups(docs, id_col, text_col, width, similarity)
     gone = stored(found.where("root < id").select(F.col("id").alias(id_col)).distinct(), "copies")
     return drop_ids(docs, gone, id_col)
+
+
+def _keep_one_row(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """`keep_one` where ids repeat: decides on numbers of the distinct (id, text), not on ids."""
+    again = docs.join(bounded(repeated), id_col, "left_semi").dropDuplicates([id_col, text_col])
+    once = docs.join(bounded(repeated), id_col, "left_anti")
+    rows = stored(once.unionByName(again).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = stored(groups(rows.where(F.col(id_col).isNotNull()), "__row", text_col, width, similarity), "groups")
+    # the smallest id of a group stays, of its texts the one of the smallest digest
+    order = rows.where(F.col(id_col).isNotNull()).select(F.col("__row").alias("id"), F.struct(F.col(id_col).alias("doc"), F.sha2(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), 256).alias("text"), F.col("__row").alias("row")).alias("rank"))
+    ranked = stored(found.join(order, "id").select("id", "root", "rank"), "ranked")
+    first = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("id"))
+    gone = stored(ranked.select("id").join(bounded(first), "id", "left_anti").withColumnRenamed("id", "__row"), "copies")
+    return drop_ids(rows, gone, "__row").select(docs.columns)

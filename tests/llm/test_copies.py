@@ -98,3 +98,10 @@ def test_null_ids_and_extra_columns(spark, documents):
     kept = copies.keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]
     assert copies.keep_one(documents([])).count() == 0
+
+
+def test_repeated_ids(spark, documents):
+    a, b = "one text of seven words in all", "quite another text that has no copy"
+    rows = [(3, a), (5, a), (5, b), (7, "a row that stands here twice"), (7, "a row that stands here twice"), (8, None), (8, ""), (None, a), (None, a)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in copies.keep_one(documents(rows)).collect())
+    assert kept == [(0, a), (0, a), (3, a), (5, b), (7, "a row that stands here twice"), (8, "")]
