@@ -172,6 +172,7 @@ def build_candidates(tiles: DataFrame, tol_arcsec: float = 0.25, eligible: DataF
     from skysieve.operators.flags import core_only
 
     rows = tiles.withColumn("object_id", object_number(F.col("object_id").cast("string"))).withColumn("src_id", source_id("tile_id", "object_id")).where(sky.finite("ra", "dec"))
+    emitted = rows
     rows = dedup.first_by(rows, ["src_id"], [F.col("ra"), F.col("dec")])
     if eligible is not None and not eligible.isEmpty():
         rows = rows.join(eligible.select("tile_id").distinct(), "tile_id", "left_semi")
@@ -184,5 +185,7 @@ def build_candidates(tiles: DataFrame, tol_arcsec: float = 0.25, eligible: DataF
     reps = dedup.representatives(clustered, "src_id", F.col("is_core"))
     kept = clustered.join(reps.select(F.col("rep_id").alias("src_id")), "src_id", "left_semi")
     manifest = clustered.join(reps.select(F.col("rep_id").alias("src_id"), F.lit(1).alias("rep")), "src_id", "left").groupBy("tile_id").agg(F.count("*").alias("n_rows"), F.count("rep").alias("n_kept"), F.count_if(F.col("is_core")).alias("n_core"))
+    # what tiles emit counts before ids that repeat go
+    manifest = manifest.join(emitted.groupBy("tile_id").agg(F.count("*").alias("n_emitted")), "tile_id")
     columns = ["src_id", "tile_id", "object_id", "ra", "dec"]
     return {"stage": kept.where("is_core").select(*columns), "all": kept.select(*columns, "is_core"), "upload": kept.where("is_core").select("src_id", "ra", "dec"), "members": clustered.select("src_id", "cluster_id", "is_core"), "manifest": manifest}

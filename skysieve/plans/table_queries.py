@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skysieve.functions import sky, text
 from skysieve.operators import dedup, filters, flags
 from skysieve.plans import master, qc, stages
-from skysieve.plans.derived import catalogue, cte, detections, frames, read
+from skysieve.plans.derived import catalogue, cte, detections, frames, read, sep
 from skysieve.sources.tables import numbered
 
 QUERIES: dict = {}
@@ -355,10 +355,18 @@ def master_bins(spark, d):
     return master.merge_tiles(rows).groupBy("tile_id", "ra_bin", "dec_bin").agg(F.count("*").alias("n"))
 
 
-@query(cte("det") + ", u AS (SELECT DISTINCT tile_id || ':' || CAST(number AS STRING) AS src_id, tile_id, number, plate_no FROM det) SELECT tile_id, count(*) AS n_rows FROM u GROUP BY 1")
+_BAND = repr(0.25 / 3600 + 1e-9)
+
+
+@query(cte("det") + f""", s AS (SELECT concat(tile_id, ':', CAST(number AS STRING)) AS src_id, * EXCLUDE (src_id) FROM det),
+u AS (SELECT src_id, tile_id, plate_no, ra, dec FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY ra, dec) AS n FROM s) WHERE n = 1),
+e AS (SELECT a.src_id AS a, b.src_id AS b FROM u a JOIN u b ON b.dec >= a.dec - {_BAND} AND b.dec <= a.dec + {_BAND} AND a.plate_no = b.plate_no AND a.src_id <> b.src_id WHERE {sep('a', 'b')} <= 0.25),
+r AS (WITH RECURSIVE t(n, m) AS (SELECT src_id, src_id FROM u UNION SELECT e.b, t.m FROM t JOIN e ON e.a = t.n) SELECT n, min(m) AS m FROM t GROUP BY 1),
+w AS (SELECT tile_id, count(*) AS n_emitted FROM s GROUP BY 1)
+SELECT w.tile_id, w.n_emitted, count(*) AS n_rows, count(*) FILTER (WHERE r.n = r.m) AS n_kept, count(*) AS n_core FROM w JOIN u USING (tile_id) JOIN r ON r.n = u.src_id GROUP BY 1, 2""")
 def candidate_manifest(spark, d):
     rows = detections(spark, d).select("tile_id", F.col("number").alias("object_id"), "ra", "dec", F.col("plate_no").alias("plate_id"))
-    return stages.build_candidates(rows)["manifest"].select("tile_id", "n_rows")
+    return stages.build_candidates(rows)["manifest"]
 
 
 @query(cte("det") + ", f AS (SELECT *, CASE WHEN isfinite(FWHM_IMAGE) THEN (FWHM_IMAGE - 4) / 10.0E0 END AS r FROM det) SELECT count(r) AS n, min(r) AS min, max(r) AS max, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.9), 6) AS p90, CASE WHEN quantile_cont(r, 0.5) <= 0.3 AND quantile_cont(r, 0.9) <= 1.0 THEN 'OK' ELSE 'WARN' END AS status FROM f")

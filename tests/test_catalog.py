@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from skysieve.plans import catalog
@@ -23,7 +24,7 @@ def duck():
 
 def rows(frame, columns):
     def cell(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "~"
         v = v.tolist() if hasattr(v, "tolist") else v
         return int(v) if isinstance(v, float) and math.isfinite(v) and v == int(v) else v
