@@ -1,14 +1,14 @@
 """Exact top-k by integer inner product over length buckets.
 
 Vectors become integers floor(SCALE * x). Candidates are grouped by length into geometric buckets, and a bucket is cut
-into blocks of about BLOCK vectors, so a length that every vector shares is still many blocks. Queries are cut into
-blocks too. First each query scores the block of the longest vectors of its dimension, which gives a lower bound of its
-k-th score. Then every block of candidates meets every block of queries whose bound it can still reach
-(|q| * longest >= bound): block rows join block rows on the dimension, never vector rows. Inside, each query takes its
-local cosine threshold bound / (|q| * longest) for that block: when it is high, the query's largest coordinate bounds
-the matching coordinate of a candidate direction (coordinate pruning), otherwise only candidates of length
->= bound / |q| stay (length pruning). What is left is verified with exact integer products, and the best k a query are
-merged with ties to the smaller id.
+into blocks of about CANDIDATES vectors, so a length that every vector shares is still many blocks. Queries are cut into
+blocks of BLOCK. First each query scores the HEAD longest vectors of its dimension, which gives a lower bound of its
+k-th score. Then blocks of candidates, in groups of one length bucket, meet every block of queries whose bound they can
+still reach (|q| * longest >= bound): groups are tested as narrow rows before any vector moves, and block rows join block
+rows, never vector rows. Inside, each query takes its local cosine threshold bound / (|q| * longest) for that block: when
+it is high, the query's largest coordinate bounds the matching coordinate of a candidate direction (coordinate pruning),
+otherwise only candidates of length >= bound / |q| stay (length pruning). What is left is verified with exact integer
+products, scores under the bound go, and the best k a query are merged with ties to the smaller id.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither do rows without id;
 vectors of other dimensions than the query's don't meet it; an empty vector is a vector of dimension 0 with all scores
@@ -28,11 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skysieve.llm.common import stored, table
+from skysieve.llm.common import bounded, stored, table
 
 SCALE, K = 64, 20
-#: Vectors of a block, about; lengths of a bucket differ by a factor of GROWTH at most.
-BLOCK, GROWTH = 1_024, 1.25
+#: Queries and candidates of a block, about; lengths of a bucket differ by a factor of GROWTH at most.
+BLOCK, CANDIDATES, GROWTH = 1_024, 16_384, 1.25
+#: Components of a block, about: blocks of long vectors have fewer of them.
+COMPONENTS = 1 << 22
+#: Vectors that give a first bound, and candidate blocks of a group.
+HEAD, GROUP = 2_048, 4
+#: Parts that the narrow join of query blocks and groups is dealt to for each dimension.
+SALTS = 64
 #: A local cosine threshold from which coordinates prune.
 STEEP = 0.6
 
@@ -50,20 +56,23 @@ def _bucket(length: Column) -> Column:
     return F.when(length > 0, F.floor(F.log(length) / math.log(GROWTH))).otherwise(F.lit(-1_000)).cast("int")
 
 
-def blocks(vectors: DataFrame, by_length: bool) -> DataFrame:
-    """One row a block: dim, longest, n and the packed ids and components, in order of falling length."""
+def blocks(vectors: DataFrame, by_length: bool, most: int) -> DataFrame:
+    """One row a block of `most` vectors at most, about: dim, bucket, cuts of its bucket, longest, n and the packed ids
+    and components, in order of falling length. Rows that repeat an id are dealt apart."""
     keyed = vectors.withColumn("bucket", _bucket(F.col("length")) if by_length else F.lit(0))
-    sizes = keyed.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
-    keyed = keyed.join(F.broadcast(sizes), ["dim", "bucket"])  # as many rows as dimensions x bucket numbers, bounded by the double's exponents
-    keyed = keyed.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    per = F.greatest(F.lit(1), F.least(F.lit(most), F.lit(COMPONENTS) / F.greatest(F.lit(1), F.col("dim"))))
+    sizes = keyed.groupBy("dim", "bucket").agg(F.count("*").alias("m")).select("dim", "bucket", F.ceil(F.col("m") / per).cast("int").alias("cuts"))
+    keyed = keyed.join(bounded(sizes), ["dim", "bucket"])  # as many rows as dimensions x bucket numbers, which the double's exponents bound
+    keyed = keyed.withColumn("cut", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("cuts")).cast("int"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         dim = int(frame["dim"].iloc[0])
         frame = frame.sort_values(["length", "id"], ascending=[False, True], kind="stable")
         matrix = np.array(frame["v"].tolist(), np.float64).reshape(len(frame), dim)
-        return pd.DataFrame({"dim": [dim], "longest": [frame["length"].iloc[0]], "n": [len(frame)], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vectors": [_pack(matrix)]})
+        one = {"dim": [dim], "bucket": [frame["bucket"].iloc[0]], "cuts": [frame["cuts"].iloc[0]], "longest": [frame["length"].iloc[0]], "n": [len(frame)]}
+        return pd.DataFrame(one | {"ids": [frame["id"].to_numpy(np.int64)], "vectors": [_pack(matrix)]})
 
-    packed = keyed.groupBy("dim", "bucket", "cut").applyInPandas(pack, "dim int, longest double, n int, ids binary, vectors binary")
+    packed = keyed.groupBy("dim", "bucket", "cut").applyInPandas(pack, "dim int, bucket int, cuts int, longest double, n int, ids array<long>, vectors binary")
     return stored(packed.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
@@ -74,8 +83,8 @@ def _pack(matrix: np.ndarray) -> bytes:
     return kind.encode() + matrix.astype(kind).tobytes()
 
 
-def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(ids, np.int64)
+def _unpack(ids: Iterable[int], vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    found = np.array(ids, np.int64)
     return found, np.frombuffer(vectors[1:], vectors[:1].decode()).astype(np.float64).reshape(len(found), dim)
 
 
@@ -120,41 +129,61 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def block_search(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, vector id, score) of each query's best k of a block (by falling length) that reach its bound.
+
+    Queries that keep most of the block share one matrix product; the others multiply what pruning left.
+    """
+    norms, lengths = np.sqrt((queries**2).sum(1)), np.sqrt((others**2).sum(1))
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(others).max(initial=0)) * max(1, queries.shape[1])
+    out: list[tuple] = []
+
+    def take(i: int, at: np.ndarray, scores: np.ndarray) -> None:
+        keep = np.nonzero((scores >= bounds[i]) & (ids[at] != q_ids[i]))[0]
+        top = keep[_best(ids[at[keep]], scores[keep], k)]
+        out.append((np.full(len(top), q_ids[i]), ids[at[top]], scores[top]))
+
+    wide: list[tuple[int, np.ndarray]] = []
+    for i, query in enumerate(queries):
+        at = candidates(query, float(norms[i]), float(bounds[i]), others, lengths)
+        if 2 * len(at) > len(others) and most < 2**53 and others.size:
+            wide.append((i, at))
+        elif len(at):
+            take(i, at, products(query, others[at]))
+    for a in range(0, len(wide), 64):
+        some = wide[a : a + 64]
+        scores = (queries[[i for i, _ in some]] @ others.T).astype(np.int64)
+        for (i, at), row in zip(some, scores, strict=True):
+            take(i, at, row[at])
+    return tuple(np.concatenate([x[c] for x in out]) if out else np.empty(0, np.int64) for c in range(3))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score); `is_query` is over the column id."""
     ready = integers(vectors, id_col, vector_col, scale)
-    cand = blocks(ready, True)
+    cand = blocks(ready, True, CANDIDATES)
     first = Window.partitionBy("id").orderBy("v")
-    asked = blocks(ready.where(is_query).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), False)
+    asked = blocks(ready.where(is_query).withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"), False, BLOCK)
 
-    def search(prune: bool):
+    def search(head: int | None):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     q_ids, queries = _unpack(row["q_ids"], row["q_vectors"], row["dim"])
                     ids, others = _unpack(row["ids"], row["vectors"], row["dim"])
-                    norms, lengths = np.sqrt((queries**2).sum(1)), np.sqrt((others**2).sum(1))
-                    bounds = np.frombuffer(row["bounds"], np.float64) if prune and row["bounds"] else np.full(len(q_ids), -np.inf)
-                    out: list[tuple] = []
-                    for i, (q, query) in enumerate(zip(q_ids.tolist(), queries, strict=True)):
-                        at = candidates(query, float(norms[i]), float(bounds[i]), others, lengths)
-                        at = at[ids[at] != q]
-                        scores = products(query, others[at])
-                        top = _best(ids[at], scores, k)
-                        out.append((np.full(len(top), q), ids[at][top], scores[top]))
-                    cols = [np.concatenate([x[c] for x in out]) if out else np.empty(0, np.int64) for c in range(3)]
+                    bounds = np.frombuffer(row["bounds"], np.float64) if row["bounds"] else np.full(len(q_ids), -np.inf)
+                    cols = block_search(q_ids, queries, bounds, ids[:head], others[:head], k)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
         return run
 
-    queries = asked.select("dim", F.col("block").alias("q_block"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    queries = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     found = "query_id long, vec_id long, score long"
     longest = cand.groupBy("dim").agg(F.max_by("block", F.struct(F.least("n", F.lit(k + 1)), "longest", "block")).alias("block"))
-    heads = cand.join(F.broadcast(longest), ["dim", "block"])
-    start = queries.join(heads, "dim").withColumn("bounds", F.lit(None).cast("binary")).mapInArrow(search(False), found)
-    # the k-th score of one block is a lower bound of the k-th score overall
-    ranked = start.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("nth") == k)
-    bound = ranked.select("query_id", "score")
+    heads = cand.join(bounded(longest), ["dim", "block"]).select("dim", "ids", "vectors")
+    start = queries.join(heads, "dim").withColumn("bounds", F.lit(None).cast("binary")).mapInArrow(search(HEAD), found)
+    # the k-th score over some vectors is a lower bound of the k-th score over all
+    bound = start.groupBy("query_id").agg(F.count("*").alias("m"), F.min("score").alias("score")).where(F.col("m") >= k).select("query_id", "score")
 
     def bounds_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(right["query_id"], right["score"], strict=True))
@@ -163,19 +192,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
             q_ids, vectors_ = _unpack(row.q_ids, row.q_vectors, row.dim)
             mine, norms = np.array([known.get(i, -np.inf) for i in q_ids.tolist()], np.float64), np.sqrt((vectors_**2).sum(1))
             need = np.where(mine > 0, mine / np.where(norms > 0, norms, 1.0), -np.inf).min(initial=np.inf)
-            rows.append((row.dim, row.q_block, row.q_ids, row.q_vectors, mine.tobytes(), float(need)))
+            rows.append((row.dim, row.q_block, q_ids, row.q_vectors, mine.tobytes(), float(need)))
         return pd.DataFrame(rows, columns=["dim", "q_block", "q_ids", "q_vectors", "bounds", "need"])
 
-    members = queries.select("q_block", F.explode(F.udf(lambda x: np.frombuffer(x, np.int64).tolist(), "array<long>")("q_ids")).alias("query_id"))
+    members = queries.select("q_block", F.explode("q_ids").alias("query_id"))
     scored = members.join(bound, "query_id").select(F.col("q_block").alias("of"), "query_id", "score")
-    ready_q = queries.groupBy("q_block").cogroup(scored.groupBy("of")).applyInPandas(bounds_of, "dim int, q_block long, q_ids binary, q_vectors binary, bounds binary, need double")
+    ready_q = queries.groupBy("q_block").cogroup(scored.groupBy("of")).applyInPandas(bounds_of, "dim int, q_block long, q_ids array<long>, q_vectors binary, bounds binary, need double")
     ready_q = stored(ready_q, "queries")
-    # a query block meets each group of candidate blocks once; groups, not the one dimension, deal out the work
-    groups = max(1, min(4_096, -(-cand.count() // 4)))
-    spread = ready_q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    meets = cand.select("dim", "longest", "ids", "vectors", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("part"))
-    pairs = spread.join(meets, ["dim", "part"]).where(F.col("longest") * (1 + 1e-9) >= F.col("need"))
-    every = pairs.select("dim", "q_ids", "q_vectors", "bounds", "ids", "vectors").mapInArrow(search(True), found)
+    # groups of blocks of one bucket; narrow rows decide which groups a query block still meets
+    slots = F.greatest(F.lit(1), F.ceil(F.col("cuts") / GROUP)).cast("int")
+    cand = cand.withColumn("slot", F.pmod(F.xxhash64("block"), slots).cast("int"))
+    groups = cand.groupBy("dim", "bucket", "slot").agg(F.max("longest").alias("longest"))
+    groups = groups.withColumn("salt", F.pmod(F.xxhash64("bucket", "slot"), F.lit(SALTS)).cast("int"))
+    narrow = ready_q.select("dim", "q_block", "need", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    reach = narrow.join(groups, ["dim", "salt"]).where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_block", "bucket", "slot")
+    pairs = reach.join(ready_q.drop("dim"), "q_block").join(cand.select("dim", "bucket", "slot", "longest", "ids", "vectors"), ["dim", "bucket", "slot"])
+    every = pairs.where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("dim", "q_ids", "q_vectors", "bounds", "ids", "vectors").mapInArrow(search(None), found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

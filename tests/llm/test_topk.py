@@ -22,6 +22,8 @@ def brute(rows, k, every=20):
 @pytest.mark.parametrize("seed,block", [(0, 1_024), (1, 16)])
 def test_against_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "CANDIDATES", 2 * block)
+    monkeypatch.setattr(topk, "HEAD", block)
     rng = np.random.default_rng(seed)
     rows = [(k, [float(x) for x in np.float32(rng.normal(size=8) * 10 ** rng.uniform(-2, 2))]) for k in range(150)]
     rows += [(200 + k, [1.0] * 8) for k in range(40)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [math.inf] * 8), (320, []), (321, []), (340, [0.0] * 8), (360, [2.0, 3.0]), (361, [3e30, -3e30]), (380, [3e30, 3e30]), (None, [1.0] * 8)]
