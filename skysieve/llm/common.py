@@ -75,6 +75,25 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], count:
     return marked.join(right.withColumn("__salt", F.explode(copies)), [*keys, "__salt"], "left").drop("__salt")
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], parts: int = 64) -> DataFrame:
+    """The keys that hold over 1 / parts of the rows each: fewer than `parts` rows, stored."""
+    total = df.count()
+    return stored(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") * F.lit(parts) > F.lit(total)).select(*keys), "hot")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Column, parts: int = 64) -> DataFrame:
+    """Left join where `hot` (see hot_keys) lists the keys whose left rows are dealt over `parts` copies of the right ones.
+
+    Unlike salted_lookup, the right rows move once: the list of hot keys, bounded by `parts`, goes to both sides.
+    """
+    marks = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(marks, [*keys], "left").withColumn("__salt", salt).drop("__hot")
+    b = right.join(marks, [*keys], "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return a.join(b, [*keys, "__salt"], "left").drop("__salt")
+
+
 def fold(key: str | Column, folds: int) -> Column:
     """crc32 of the key as text, modulo `folds`; null for a null key."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")) if isinstance(key, str) else F.crc32(key.cast("string").cast("binary")), F.lit(folds))

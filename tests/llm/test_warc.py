@@ -33,11 +33,61 @@ def test_round_trip(spark, pages):
 def test_files_are_warc(spark, pages, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archive(warc.records(pages).coalesce(1), path)
-    (file,) = (tmp_path / "w").glob("*.gz")
+    (file,) = (tmp_path / "w").glob("part-*")
     parsed = [*warc.parse(gzip.decompress(file.read_bytes()))]
     assert len(parsed) == len(ROWS)
     with pytest.raises(warc.ArchiveError):
         [*warc.parse(gzip.decompress(file.read_bytes())[:-9])]
+    members = file.read_bytes().split(warc.MARK)
+    assert len(members) == len(ROWS) + 1 and not members[-1] and all(len([*warc.parse(gzip.decompress(m))]) == 1 for m in members[:-1])
+
+
+def test_references_name_records_and_records_rebuild(spark, tmp_path):
+    rows = [(f"{k}/a b>\r\n{k % 5}", f"http://x/{k}", f"body {k % 5}" * (k % 5)) for k in range(40)] + [(None, None, None), (None, None, "one")]
+    found = spark.createDataFrame(rows, "page_id string, url string, html string")
+    path = shared_dir(spark, "warc")
+    warc.write_archive(warc.packed_records(found), path)
+    back = warc.read_archive(spark, path).collect()
+    by = {r["record"]: r for r in back}
+    assert len(by) == len(back) == len(rows) and sorted(str(r["id"]) for r in back) == sorted(str(r[0]) for r in rows)
+    for r in back:
+        if r["kind"] == "revisit":
+            target = by[r["to_record"]]
+            assert target["kind"] == "response" and target["key"] == r["key"] and target["id"] == r["to"]
+    packed = warc.read_archive(spark, path, packed=True)
+    whole = warc.reconstruct(packed.drop("payload"), packed.where("kind = 'response'"), packed=True, unique=True).collect()
+    assert sorted((str(r["id"]), bytes(r["payload"])) for r in whole) == sorted((str(i), (h or "").encode()) for i, _, h in rows)
+
+
+def test_a_mark_inside_a_payload():
+    import random
+
+    raw = random.Random(1).randbytes(2_000) + warc.MARK + random.Random(2).randbytes(2_000)
+    made = warc.member(raw)
+    assert warc.MARK not in made and gzip.decompress(made) == raw
+
+
+def test_a_damaged_archive_is_refused(spark, pages, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_archive(warc.records(pages).coalesce(1), path)
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2] ^= 1
+    file.write_bytes(bytes(data))
+    for crc in (tmp_path / "w").glob(".part-*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="ArchiveError"):
+        warc.read_archive(spark, path).collect()
+
+
+def test_a_very_long_payload(spark, tmp_path):
+    import random
+
+    long = random.Random(3).randbytes(6_000_000).hex() * 9
+    found = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "short")], "page_id long, url string, html string")
+    found.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.op4(spark, str(tmp_path)).collect()}
+    assert got[1] == (len(long), warc.sha1_base32(long.encode()), "revisit") and got[2][2] == "response"
 
 
 def test_query_columns(spark, pages, tmp_path):
