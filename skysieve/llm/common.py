@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to shared storage and read again: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

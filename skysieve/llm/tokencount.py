@@ -1,11 +1,15 @@
-"""Edit-aware token counts: a segment tree of pre-tokens per document.
+"""Edit-aware token counts: a kept segment tree of pre-tokens per document.
 
 A text is cut into pre-tokens by the tokenizer's pattern; byte-pair merges never cross them, so a document's tokens are
 the sum over its pre-tokens, each encoded once a worker and remembered. Leaves of a document's tree hold LEAF pre-tokens
-with their characters, pre-tokens and tokens; inner nodes hold the sums. An edit descends by character sums to the
-first leaf it touches, goes back over the context that the pattern's look-ahead needs, cuts and encodes anew only until
-a new boundary falls on an old one behind the edit, and renews the sums on the way up. Counts after edits equal a
-fresh count of the edited text.
+with their characters and tokens; inner nodes hold the sums.
+
+`build` encodes every document once and stores the trees, one row a document: text, characters and tokens of each
+pre-token, pre-tokens of each leaf and the sums of all nodes. `apply_edits` takes stored trees and edits and returns
+trees in the same form, so a later run starts from them: nothing is encoded but what edits touch. An edit descends by
+character sums to the first leaf it touches, goes back over the context that the pattern's look-ahead needs, cuts and
+encodes anew only until a new boundary falls on an old one behind the edit, and renews the sums on the way up. Counts
+after edits equal a fresh count of the edited text.
 
 The vocabulary file is read where the driver runs and travels in the closure; its path is a parameter.
 
@@ -20,13 +24,14 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysieve.llm.common import table
+from skysieve.llm.common import bounded, stored, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -79,32 +84,62 @@ class Counter:
 
 
 class Leaf:
-    __slots__ = ("chars", "counts", "lengths", "tokens")
+    __slots__ = ("counts", "lengths", "text")
+
+    def __init__(self, text: str, lengths: list[int], counts: list[int]) -> None:
+        self.text, self.lengths, self.counts = text, lengths, counts
+
 
-    def __init__(self, lengths: list[int], counts: list[int]) -> None:
-        self.lengths, self.counts, self.chars, self.tokens = lengths, counts, sum(lengths), sum(counts)
+def _sums(leaves: list[int], width: int) -> list[int]:
+    """Sums of all nodes of a tree of `width` leaves; node k has children 2k and 2k + 1, node 1 is the root."""
+    out = np.zeros(2 * width, np.int64)
+    out[width : width + len(leaves)] = leaves
+    while width > 1:
+        out[width // 2 : width] = out[width : 2 * width].reshape(-1, 2).sum(1)
+        width //= 2
+    return out.tolist()
 
 
 class SegmentTree:
     """Pre-tokens of one text under sums of characters and tokens."""
 
     def __init__(self, text: str, counter: Counter) -> None:
-        self.text, self.counter = text, counter
+        self.counter = counter
         pieces = counter.cut(text)
         self.encoded = self.fresh = len(pieces)
-        self._plant([Leaf([*map(len, x)], [*map(counter.count, x)]) for k in range(0, len(pieces), LEAF) for x in [pieces[k : k + LEAF]]])
+        self._plant(self._leaves(pieces, [*map(counter.count, pieces)], LEAF))
+
+    @classmethod
+    def load(cls, row: dict, counter: Counter) -> SegmentTree:
+        """The tree of a stored row; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.encoded, tree.fresh = counter, 0, 0
+        tree.leaves, at, char = [], 0, 0
+        for n in row["leaves"]:
+            lengths = row["lengths"][at : at + n]
+            end = char + sum(lengths)
+            tree.leaves.append(Leaf(row["text"][char:end], lengths, row["counts"][at : at + n]))
+            at, char = at + n, end
+        tree.width, tree.chars, tree.tokens = len(row["chars"]) // 2, row["chars"], row["tokens"]
+        return tree
+
+    def row(self) -> dict:
+        """The stored form."""
+        flat = lambda name: [x for leaf in self.leaves for x in getattr(leaf, name)]
+        return {"text": self.text, "lengths": flat("lengths"), "counts": flat("counts"), "leaves": [len(x.lengths) for x in self.leaves], "chars": self.chars, "tokens": self.tokens}
+
+    @staticmethod
+    def _leaves(pieces: list[str], counts: list[int], share: int) -> list[Leaf]:
+        return [Leaf("".join(x), [*map(len, x)], counts[k : k + share]) for k in range(0, len(pieces), share) for x in [pieces[k : k + share]]]
 
     def _plant(self, leaves: list[Leaf]) -> None:
         self.leaves = leaves
         self.width = 1 << max(0, len(leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, leaf in enumerate(leaves):
-            self.chars[self.width + i], self.tokens[self.width + i] = leaf.chars, leaf.tokens
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
+        self.chars, self.tokens = _sums([len(x.text) for x in leaves], self.width), _sums([sum(x.counts) for x in leaves], self.width)
 
-    def _sum(self, i: int) -> None:
-        self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+    @property
+    def text(self) -> str:
+        return "".join(x.text for x in self.leaves)
 
     @property
     def total(self) -> int:
@@ -124,68 +159,78 @@ class SegmentTree:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace characters [start, end) and count anew what that may change."""
-        start = max(0, min(start, len(self.text)))
-        end = max(start, min(end, len(self.text)))
-        text = self.text[:start] + new + self.text[end:]
+        start = max(0, min(start, self.chars[1]))
+        end = max(start, min(end, self.chars[1]))
         if not self.leaves:
-            self.__dict__.update(SegmentTree(text, self.counter).__dict__)
+            pieces = self.counter.cut(new)
+            self.fresh = len(pieces)
+            self.encoded += self.fresh
+            self._plant(self._leaves(pieces, [*map(self.counter.count, pieces)], LEAF))
             return
         first, at = self.locate(max(0, start - AHEAD))
         if first and at + AHEAD > start - 1:  # the context reaches into the leaf before
             first -= 1
-            at -= self.leaves[first].chars
-        skip = 0
-        leaf = self.leaves[first]
-        while skip < len(leaf.lengths) and at + leaf.lengths[skip] + AHEAD <= start:
-            at += leaf.lengths[skip]
-            skip += 1
-        shift = len(new) - (end - start)
-        old, old_leaf, old_piece = at, first, skip  # an old boundary that moves along behind the edit
-        lengths, counts = leaf.lengths[:skip], leaf.counts[:skip]
-        position, self.fresh, met = at, 0, False
-        for piece in self.counter.stream(text, at):
-            while old_leaf < len(self.leaves) and old + shift < position:
-                if old_piece == len(self.leaves[old_leaf].lengths):
-                    old_leaf, old_piece = old_leaf + 1, 0
-                else:
-                    old += self.leaves[old_leaf].lengths[old_piece]
-                    old_piece += 1
-            if old >= end and old + shift == position and position >= start + len(new) and position > at:
-                met = True
-                break
-            lengths.append(len(piece))
-            counts.append(self.counter.count(piece))
-            position += len(piece)
-            self.fresh += 1
-        if met and old_leaf < len(self.leaves):
-            lengths += self.leaves[old_leaf].lengths[old_piece:]
-            counts += self.leaves[old_leaf].counts[old_piece:]
-            last = old_leaf + 1
-        else:
-            last = len(self.leaves)
+            at -= len(self.leaves[first].text)
+        stop = min(len(self.leaves), self.locate(end)[0] + 2)
+        found = None
+        while found is None:  # the leaves that were looked at didn't do: look at twice as many
+            found = self._cut_anew(first, stop, at, start, end, new)
+            stop, last = min(len(self.leaves), 2 * stop - first), stop
+        pieces, counts = found
         self.encoded += self.fresh
-        self.text = text
-        made = [Leaf(lengths[k : k + LEAF], counts[k : k + LEAF]) for k in range(0, len(lengths), LEAF)]
-        if len(made) == last - first:
-            self.leaves[first:last] = made
-            self._renew(first, last)
-        elif last - first >= 1 and made and len(lengths) <= 2 * LEAF * (last - first):
+        made = self._leaves(pieces, counts, LEAF)
+        if len(made) != last - first and made and len(pieces) <= 2 * LEAF * (last - first):
             # about as many pre-tokens as before: the same leaves share them, so no node moves
-            share = -(-len(lengths) // (last - first))
-            made = [Leaf(lengths[k * share : (k + 1) * share], counts[k * share : (k + 1) * share]) for k in range(last - first)]
+            made = self._leaves(pieces, counts, -(-len(pieces) // (last - first)))
+            made += [Leaf("", [], [])] * (last - first - len(made))
+        if len(made) == last - first:
             self.leaves[first:last] = made
             self._renew(first, last)
         else:
             self._plant(self.leaves[:first] + made + self.leaves[last:])
 
+    def _cut_anew(self, first: int, stop: int, base: int, start: int, end: int, new: str) -> tuple[list[str], list[int]] | None:
+        """Pre-tokens and counts of leaves [first, stop), which begin at character `base`, after the edit; None if the
+        new boundaries don't fall on old ones before their end."""
+        old = "".join(x.text for x in self.leaves[first:stop])
+        lengths, known = [x for leaf in self.leaves[first:stop] for x in leaf.lengths], [x for leaf in self.leaves[first:stop] for x in leaf.counts]
+        text, whole = old[: start - base] + new + old[end - base :], stop == len(self.leaves)
+        pieces, counts, position, k = [], [], 0, 0
+        while k < len(lengths) and position + lengths[k] + AHEAD <= start - base:
+            pieces.append(old[position : position + lengths[k]])
+            counts.append(known[k])
+            position += lengths[k]
+            k += 1
+        shift, begin, was = len(new) - (end - start), position, position  # an old boundary that moves along behind the edit
+        self.fresh = 0
+        for piece in self.counter.stream(text, position):
+            while k < len(lengths) and was + shift < position:
+                was += lengths[k]
+                k += 1
+            if was >= end - base and was + shift == position and position >= start - base + len(new) and position > begin:
+                break
+            if not whole and position + len(piece) + AHEAD > len(text):
+                return None  # what follows may change this piece
+            pieces.append(piece)
+            counts.append(self.counter.count(piece))
+            position += len(piece)
+            self.fresh += 1
+        else:
+            return (pieces, counts) if whole else None
+        for n, c in zip(lengths[k:], known[k:], strict=True):
+            pieces.append(text[position : position + n])
+            counts.append(c)
+            position += n
+        return pieces, counts
+
     def _renew(self, first: int, last: int) -> None:
         """Sums of leaves [first, last) and of every node above them."""
         for i in range(first, last):
-            self.chars[self.width + i], self.tokens[self.width + i] = self.leaves[i].chars, self.leaves[i].tokens
+            self.chars[self.width + i], self.tokens[self.width + i] = len(self.leaves[i].text), sum(self.leaves[i].counts)
         low, high = (self.width + first) // 2, (self.width + last - 1) // 2
         while low:
             for i in range(low, high + 1):
-                self._sum(i)
+                self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
             low, high = low // 2, high // 2
 
 
@@ -195,30 +240,77 @@ def load(path: str = VOCABULARY) -> Counter:
         return Counter(file.read())
 
 
+#: Columns of a stored tree, after its id.
+TREE = {"text": pa.string(), **dict.fromkeys(("lengths", "counts", "leaves"), pa.list_(pa.int32())), **dict.fromkeys(("chars", "tokens"), pa.list_(pa.int64())), "n_pretokens": pa.int64(), "n_tokens": pa.int64(), "n_reencoded": pa.int64()}
+_TREE_DDL = "text string, lengths array<int>, counts array<int>, leaves array<int>, chars array<long>, tokens array<long>, n_pretokens long, n_tokens long, n_reencoded long"
+
+
+def _rows(ids: pa.Array, trees: Iterable[SegmentTree], more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    """A batch of stored trees; n_reencoded counts what has been encoded since the tree was loaded."""
+    cols: dict[str, list] = {k: [] for k in TREE}
+    for tree in trees:
+        row = tree.row()
+        row |= {"n_pretokens": len(row["lengths"]), "n_tokens": tree.total, "n_reencoded": tree.encoded}
+        for k, v in row.items():
+            cols[k].append(v)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(cols[k], t) for k, t in TREE.items()), *more], ["id", *TREE, *names])
+
+
+def build(docs: DataFrame, counter: Counter, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """The stored trees of every row, encoded in full once (n_reencoded says so); column `edits` goes along if named."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    more = f", edits {docs.schema[edits_col].dataType.simpleString()}" if edits_col else ""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(batch.column(0), (SegmentTree(x.as_py() or "", counter) for x in batch.column(1)), batch.columns[2:], batch.schema.names[2:])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.col(edits_col).alias("edits")] if edits_col else []))
+    return stored(rows.mapInArrow(run, f"id {kind}, {_TREE_DDL}{more}"), "trees")
+
+
+def _edited(row: dict, counter: Counter) -> SegmentTree:
+    tree = SegmentTree.load(row, counter)
+    for e in row["edits"] or ():
+        if e is not None:
+            tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
+    return tree
+
+
+def apply_edits(trees: DataFrame, counter: Counter) -> DataFrame:
+    """Stored trees after their `edits`, an array of struct<start, end, replacement> in order of application.
+
+    n_reencoded is the number of pre-tokens that were encoded for that."""
+    kind = trees.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows(batch.column(0), (_edited(row, counter) for row in batch.to_pylist()), [], [])
+
+    return trees.select("id", *TREE, "edits").mapInArrow(run, f"id {kind}, {_TREE_DDL}")
+
+
 def count_edits(docs: DataFrame, counter: Counter, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """(id, n_tokens, n_tokens_after, n_pretokens, n_reencoded) where `edits_col` is an array of
-    struct<start, end, replacement> in order of application."""
+    """(id, n_tokens, n_tokens_after, n_pretokens, n_reencoded): trees are built and stored, then edited as stored."""
+    trees = build(docs, counter, id_col, text_col, edits_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                tree = SegmentTree(text.as_py() or "", counter)
-                before, pieces = tree.total, tree.encoded
-                for e in edits.as_py() or ():
-                    if e is not None:
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-                rows.append((before, tree.total, pieces, tree.encoded - pieces))
+            for row in batch.to_pylist():
+                tree = _edited(row, counter)
+                rows.append((row["n_tokens"], tree.total, row["n_pretokens"], tree.encoded))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], ["id", "n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).alias("edits")).mapInArrow(run, f"id {kind}, n_tokens long, n_tokens_after long, n_pretokens long, n_reencoded long")
+    return trees.select("id", *TREE, "edits").mapInArrow(run, f"id {kind}, n_tokens long, n_tokens_after long, n_pretokens long, n_reencoded long")
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`docs` with column edits, gathered from a table (id, seq, start, end, replacement)."""
+    """`docs` (or trees) with column edits, gathered from a table (id, seq, start, end, replacement); few edits travel to
+    the rows, many by a merge join."""
     each = edits.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("edits"))
-    return docs.join(each, id_col, "left")
+    return docs.join(bounded(each, 20_000), id_col, "left")
 
 
 def standard_edits(text: str, key: str):

@@ -39,6 +39,31 @@ def test_only_the_touched_region_is_encoded(counter):
     assert tree.fresh < 12
 
 
+def test_stored_trees_are_edited_again_and_again(spark, documents, counter):
+    rng, bits = random.Random(5), [" word", "ing", "'ll", "\n\n", " 12", "é!", " a b c" * 40, ""]
+    texts = {k: "".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 400, 2_000]))) for k in range(24)}
+    trees = tokencount.build(documents([*texts.items()]), counter)
+    for round_ in range(3):
+        rows = []
+        for k, text in texts.items():
+            for seq in range(rng.randint(0, 3)):
+                a = rng.randint(0, len(text) + 1)
+                b, new = a + rng.choice([0, 3, 60]), rng.choice(bits)
+                rows.append((k, seq, a, b, new))
+                texts[k] = text = text[: min(a, len(text))] + new + text[min(b, len(text)) :]
+        edits = spark.createDataFrame(rows, "id long, seq int, start int, end int, replacement string")
+        trees = tokencount.stored(tokencount.apply_edits(tokencount.with_edits(trees, edits, "id"), counter), "trees")
+        for r in trees.collect():
+            assert (r["text"], r["n_tokens"]) == (texts[r["id"]], counter.total(texts[r["id"]])) and sum(r["lengths"]) == len(r["text"])
+            if not any(x[0] == r["id"] for x in rows):
+                assert r["n_reencoded"] == 0
+    # a long document: an edit encodes a few pre-tokens of many
+    long = tokencount.build(documents([(1, "one two three four " * 20_000)]), counter)
+    edits = spark.createDataFrame([(1, 1, 200_000, 200_003, "seven")], "id long, seq int, start int, end int, replacement string")
+    after = tokencount.apply_edits(tokencount.with_edits(long, edits, "id"), counter).first()
+    assert 0 < after["n_reencoded"] < 12 and after["n_pretokens"] > 70_000
+
+
 def test_query_shape(spark, documents, odd_rows, counter):
     docs = documents(odd_rows)
     edits = spark.createDataFrame([(4, 2, 0, 4, "other"), (4, 1, 0, 0, "x "), (3, 1, 5, 9, None), (77, 1, 0, 0, "lost"), (2, 1, 9, 12, "new text")], "doc_id long, seq int, start int, end int, replacement string")
