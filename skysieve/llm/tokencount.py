@@ -42,16 +42,16 @@ LEAF, AHEAD = 64, 3
 KNOWN = 500_000
 
 
-class Counter:
-    """Tokens of single pre-tokens."""
+class Counter(dict):
+    """Tokens of single pre-tokens, remembered by pre-token; a copy that travels remembers nothing."""
 
     def __init__(self, vocabulary: bytes, pattern: str = PATTERN) -> None:
+        super().__init__()
         self.vocabulary, self.pattern = vocabulary, pattern
         self._encoding = self._cut = None
-        self._known: dict[str, int] = {}
 
-    def __getstate__(self) -> dict:
-        return {"vocabulary": self.vocabulary, "pattern": self.pattern, "_encoding": None, "_cut": None, "_known": {}}
+    def __reduce__(self) -> tuple:
+        return Counter, (self.vocabulary, self.pattern)
 
     def _ready(self) -> None:
         if self._encoding is None:
@@ -59,6 +59,13 @@ class Counter:
             self._encoding = tiktoken.Encoding("counts", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
             self._cut = regex.compile(self.pattern)
 
+    def __missing__(self, piece: str) -> int:
+        self._ready()
+        n = len(self._encoding._encode_single_piece(piece)) if len(piece) < 1 << 16 else len(self._encoding.encode_ordinary(piece))
+        if len(self) < KNOWN:
+            self[piece] = n
+        return n
+
     def cut(self, text: str) -> list[str]:
         """Pre-tokens; they join to the text again."""
         self._ready()
@@ -69,24 +76,17 @@ class Counter:
         self._ready()
         return (m.group() for m in self._cut.finditer(text, at))
 
-    def count(self, piece: str) -> int:
-        n = self._known.get(piece)
-        if n is None:
-            self._ready()
-            if len(self._known) > KNOWN:
-                self._known.clear()
-            n = self._known[piece] = len(self._encoding._encode_single_piece(piece)) if len(piece) < 1 << 16 else len(self._encoding.encode_ordinary(piece))
-        return n
-
     def total(self, text: str) -> int:
         """A fresh count of a whole text."""
-        return sum(map(self.count, self.cut(text)))
+        return sum(map(self.__getitem__, self.cut(text)))
 
 
 class Leaf:
+    """Text, and the characters and tokens of its pre-tokens as arrays."""
+
     __slots__ = ("counts", "lengths", "text")
 
-    def __init__(self, text: str, lengths: list[int], counts: list[int]) -> None:
+    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray) -> None:
         self.text, self.lengths, self.counts = text, lengths, counts
 
 
@@ -105,37 +105,37 @@ class SegmentTree:
 
     def __init__(self, text: str, counter: Counter) -> None:
         self.counter = counter
-        pieces = counter.cut(text)
-        self.encoded = self.fresh = len(pieces)
-        self._plant(self._leaves(pieces, [*map(counter.count, pieces)], LEAF))
+        self._plant(self._fresh(text))
+        self.encoded = self.fresh
 
     @classmethod
-    def load(cls, row: dict, counter: Counter) -> SegmentTree:
-        """The tree of a stored row; nothing is encoded."""
+    def load(cls, text: str, lengths: np.ndarray, counts: np.ndarray, leaves: list[int], chars: list[int], tokens: list[int], counter: Counter) -> SegmentTree:
+        """A stored tree; nothing is encoded."""
         tree = cls.__new__(cls)
-        tree.counter, tree.encoded, tree.fresh = counter, 0, 0
-        tree.leaves, at, char = [], 0, 0
-        for n in row["leaves"]:
-            lengths = row["lengths"][at : at + n]
-            end = char + sum(lengths)
-            tree.leaves.append(Leaf(row["text"][char:end], lengths, row["counts"][at : at + n]))
+        tree.counter, tree.encoded, tree.fresh, tree.leaves = counter, 0, 0, []
+        tree.width, tree.chars, tree.tokens = len(chars) // 2, chars, tokens
+        at = char = 0
+        for i, n in enumerate(leaves):
+            end = char + chars[tree.width + i]
+            tree.leaves.append(Leaf(text[char:end], lengths[at : at + n], counts[at : at + n]))
             at, char = at + n, end
-        tree.width, tree.chars, tree.tokens = len(row["chars"]) // 2, row["chars"], row["tokens"]
         return tree
 
-    def row(self) -> dict:
-        """The stored form."""
-        flat = lambda name: [x for leaf in self.leaves for x in getattr(leaf, name)]
-        return {"text": self.text, "lengths": flat("lengths"), "counts": flat("counts"), "leaves": [len(x.lengths) for x in self.leaves], "chars": self.chars, "tokens": self.tokens}
-
     @staticmethod
-    def _leaves(pieces: list[str], counts: list[int], share: int) -> list[Leaf]:
-        return [Leaf("".join(x), [*map(len, x)], counts[k : k + share]) for k in range(0, len(pieces), share) for x in [pieces[k : k + share]]]
+    def _leaves(text: str, lengths: np.ndarray, counts: np.ndarray, share: int = LEAF) -> list[Leaf]:
+        ends = [0, *np.cumsum(lengths, dtype=np.int64)[share - 1 :: share].tolist(), len(text)]
+        return [Leaf(text[ends[i] : ends[i + 1]], lengths[k : k + share], counts[k : k + share]) for i, k in enumerate(range(0, len(lengths), share))]
+
+    def _fresh(self, text: str) -> list[Leaf]:
+        pieces = self.counter.cut(text)
+        self.fresh = len(pieces)
+        lengths, counts = (np.fromiter(map(f, pieces), np.int32, len(pieces)) for f in (len, self.counter.__getitem__))
+        return self._leaves(text, lengths, counts)
 
     def _plant(self, leaves: list[Leaf]) -> None:
         self.leaves = leaves
         self.width = 1 << max(0, len(leaves) - 1).bit_length()
-        self.chars, self.tokens = _sums([len(x.text) for x in leaves], self.width), _sums([sum(x.counts) for x in leaves], self.width)
+        self.chars, self.tokens = _sums([len(x.text) for x in leaves], self.width), _sums([int(x.counts.sum()) for x in leaves], self.width)
 
     @property
     def text(self) -> str:
@@ -162,10 +162,8 @@ class SegmentTree:
         start = max(0, min(start, self.chars[1]))
         end = max(start, min(end, self.chars[1]))
         if not self.leaves:
-            pieces = self.counter.cut(new)
-            self.fresh = len(pieces)
+            self._plant(self._fresh(new))
             self.encoded += self.fresh
-            self._plant(self._leaves(pieces, [*map(self.counter.count, pieces)], LEAF))
             return
         first, at = self.locate(max(0, start - AHEAD))
         if first and at + AHEAD > start - 1:  # the context reaches into the leaf before
@@ -176,57 +174,50 @@ class SegmentTree:
         while found is None:  # the leaves that were looked at didn't do: look at twice as many
             found = self._cut_anew(first, stop, at, start, end, new)
             stop, last = min(len(self.leaves), 2 * stop - first), stop
-        pieces, counts = found
+        text, lengths, counts = found
         self.encoded += self.fresh
-        made = self._leaves(pieces, counts, LEAF)
-        if len(made) != last - first and made and len(pieces) <= 2 * LEAF * (last - first):
+        made = self._leaves(text, lengths, counts)
+        if len(made) != last - first and made and len(lengths) <= 2 * LEAF * (last - first):
             # about as many pre-tokens as before: the same leaves share them, so no node moves
-            made = self._leaves(pieces, counts, -(-len(pieces) // (last - first)))
-            made += [Leaf("", [], [])] * (last - first - len(made))
+            made = self._leaves(text, lengths, counts, -(-len(lengths) // (last - first)))
+            made += [Leaf("", *[np.empty(0, np.int32)] * 2)] * (last - first - len(made))
         if len(made) == last - first:
             self.leaves[first:last] = made
             self._renew(first, last)
         else:
             self._plant(self.leaves[:first] + made + self.leaves[last:])
 
-    def _cut_anew(self, first: int, stop: int, base: int, start: int, end: int, new: str) -> tuple[list[str], list[int]] | None:
-        """Pre-tokens and counts of leaves [first, stop), which begin at character `base`, after the edit; None if the
+    def _cut_anew(self, first: int, stop: int, base: int, start: int, end: int, new: str) -> tuple[str, np.ndarray, np.ndarray] | None:
+        """Text, lengths and counts of leaves [first, stop), which begin at character `base`, after the edit; None if the
         new boundaries don't fall on old ones before their end."""
         old = "".join(x.text for x in self.leaves[first:stop])
-        lengths, known = [x for leaf in self.leaves[first:stop] for x in leaf.lengths], [x for leaf in self.leaves[first:stop] for x in leaf.counts]
-        text, whole = old[: start - base] + new + old[end - base :], stop == len(self.leaves)
-        pieces, counts, position, k = [], [], 0, 0
-        while k < len(lengths) and position + lengths[k] + AHEAD <= start - base:
-            pieces.append(old[position : position + lengths[k]])
-            counts.append(known[k])
-            position += lengths[k]
-            k += 1
-        shift, begin, was = len(new) - (end - start), position, position  # an old boundary that moves along behind the edit
-        self.fresh = 0
+        lengths, known = (np.concatenate([getattr(x, name) for x in self.leaves[first:stop]]) for name in ("lengths", "counts"))
+        bounds = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        start, end, whole = start - base, end - base, stop == len(self.leaves)
+        text, shift = old[:start] + new + old[end:], len(new) - (end - start)
+        k, m = max(0, int(np.searchsorted(bounds, start - AHEAD, "right")) - 1), int(np.searchsorted(bounds, end))
+        later = {b + shift: i for i, b in enumerate(bounds[m:].tolist(), m)}  # old boundaries that move along behind the edit
+        position = begin = int(bounds[k])
+        sizes, counts, rest = [], [], len(lengths)
         for piece in self.counter.stream(text, position):
-            while k < len(lengths) and was + shift < position:
-                was += lengths[k]
-                k += 1
-            if was >= end - base and was + shift == position and position >= start - base + len(new) and position > begin:
+            if position >= start + len(new) and position > begin and position in later:
+                rest = later[position]
                 break
             if not whole and position + len(piece) + AHEAD > len(text):
                 return None  # what follows may change this piece
-            pieces.append(piece)
-            counts.append(self.counter.count(piece))
+            sizes.append(len(piece))
+            counts.append(self.counter[piece])
             position += len(piece)
-            self.fresh += 1
         else:
-            return (pieces, counts) if whole else None
-        for n, c in zip(lengths[k:], known[k:], strict=True):
-            pieces.append(text[position : position + n])
-            counts.append(c)
-            position += n
-        return pieces, counts
+            if not whole:
+                return None
+        self.fresh = len(sizes)
+        return text, np.concatenate((lengths[:k], np.array(sizes, np.int32), lengths[rest:])), np.concatenate((known[:k], np.array(counts, np.int32), known[rest:]))
 
     def _renew(self, first: int, last: int) -> None:
         """Sums of leaves [first, last) and of every node above them."""
         for i in range(first, last):
-            self.chars[self.width + i], self.tokens[self.width + i] = len(self.leaves[i].text), sum(self.leaves[i].counts)
+            self.chars[self.width + i], self.tokens[self.width + i] = len(self.leaves[i].text), int(self.leaves[i].counts.sum())
         low, high = (self.width + first) // 2, (self.width + last - 1) // 2
         while low:
             for i in range(low, high + 1):
@@ -245,15 +236,35 @@ TREE = {"text": pa.string(), **dict.fromkeys(("lengths", "counts", "leaves"), pa
 _TREE_DDL = "text string, lengths array<int>, counts array<int>, leaves array<int>, chars array<long>, tokens array<long>, n_pretokens long, n_tokens long, n_reencoded long"
 
 
+def _lists(parts: list, kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
 def _rows(ids: pa.Array, trees: Iterable[SegmentTree], more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
     """A batch of stored trees; n_reencoded counts what has been encoded since the tree was loaded."""
     cols: dict[str, list] = {k: [] for k in TREE}
+    none = [np.empty(0, np.int32)]
     for tree in trees:
-        row = tree.row()
-        row |= {"n_pretokens": len(row["lengths"]), "n_tokens": tree.total, "n_reencoded": tree.encoded}
-        for k, v in row.items():
+        lengths, counts = (np.concatenate([getattr(x, name) for x in tree.leaves] or none) for name in ("lengths", "counts"))
+        row = (tree.text, lengths, counts, [len(x.lengths) for x in tree.leaves], tree.chars, tree.tokens, len(lengths), tree.total, tree.encoded)
+        for k, v in zip(TREE, row, strict=True):
             cols[k].append(v)
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(cols[k], t) for k, t in TREE.items()), *more], ["id", *TREE, *names])
+    made = [_lists(cols[k], t.value_type) if pa.types.is_list(t) else pa.array(cols[k], t) for k, t in TREE.items()]
+    return pa.RecordBatch.from_arrays([ids, *made, *more], ["id", *TREE, *names])
+
+
+def _loaded(batch: pa.RecordBatch, counter: Counter) -> Iterator[SegmentTree]:
+    """The trees of a batch of stored rows after the edits in its column `edits`."""
+    flat = {k: (batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy(zero_copy_only=False)) for k in ("lengths", "counts")}
+    texts, leaves, chars, tokens, edits = (batch.column(k) for k in ("text", "leaves", "chars", "tokens", "edits"))
+    for i in range(len(batch)):
+        lengths, counts = (v[at[i] : at[i + 1]] for at, v in flat.values())
+        tree = SegmentTree.load(texts[i].as_py(), lengths, counts, leaves[i].as_py(), chars[i].as_py(), tokens[i].as_py(), counter)
+        for e in edits[i].as_py() or ():
+            if e is not None:
+                tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
+        yield tree
 
 
 def build(docs: DataFrame, counter: Counter, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
@@ -269,14 +280,6 @@ def build(docs: DataFrame, counter: Counter, id_col: str = "doc_id", text_col: s
     return stored(rows.mapInArrow(run, f"id {kind}, {_TREE_DDL}{more}"), "trees")
 
 
-def _edited(row: dict, counter: Counter) -> SegmentTree:
-    tree = SegmentTree.load(row, counter)
-    for e in row["edits"] or ():
-        if e is not None:
-            tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-    return tree
-
-
 def apply_edits(trees: DataFrame, counter: Counter) -> DataFrame:
     """Stored trees after their `edits`, an array of struct<start, end, replacement> in order of application.
 
@@ -285,7 +288,7 @@ def apply_edits(trees: DataFrame, counter: Counter) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _rows(batch.column(0), (_edited(row, counter) for row in batch.to_pylist()), [], [])
+            yield _rows(batch.column(0), _loaded(batch, counter), [], [])
 
     return trees.select("id", *TREE, "edits").mapInArrow(run, f"id {kind}, {_TREE_DDL}")
 
@@ -297,11 +300,9 @@ def count_edits(docs: DataFrame, counter: Counter, id_col: str = "doc_id", text_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                tree = _edited(row, counter)
-                rows.append((row["n_tokens"], tree.total, row["n_pretokens"], tree.encoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], ["id", "n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded"])
+            after = [(tree.total, tree.encoded) for tree in _loaded(batch, counter)]
+            totals, fresh = (pa.array([x[k] for x in after], pa.int64()) for k in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_tokens"), totals, batch.column("n_pretokens"), fresh], ["id", "n_tokens", "n_tokens_after", "n_pretokens", "n_reencoded"])
 
     return trees.select("id", *TREE, "edits").mapInArrow(run, f"id {kind}, n_tokens long, n_tokens_after long, n_pretokens long, n_reencoded long")
 
