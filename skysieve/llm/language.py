@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose zstandard dictionary shrinks a text most.
 
-Fitting draws a bounded sample of labelled rows (at most SAMPLE_DOCS documents over all languages, one chunk of each)
-and joins a language's chunks to one raw-content dictionary of at most DICTIONARY bytes. Scoring compresses every whole
+Fitting draws a bounded sample of labelled rows: up to `pieces_a_language` documents of each language, chosen by hash of
+the id, and SAMPLE_DOCS over all languages. A piece of PIECE bytes from somewhere in each of them goes into the language's
+raw-content dictionary, which holds the whole sample. Scoring compresses every whole
 text, chunk by chunk, once with each dictionary and adds up the sizes.
 
 Defined cases: a null text or one without any letter is `und` with score 0; without any labelled row every text is
@@ -24,8 +25,9 @@ from skysieve.llm.common import bounded, fold, table
 
 #: Documents that all dictionaries together are fitted on, at most.
 SAMPLE_DOCS = 8_192
-#: Bytes of one language's dictionary, at most.
-DICTIONARY = 32 << 10
+#: Documents that one language's dictionary is made of, at most, and bytes of the piece of each.
+PIECES, PIECE = 128, 256
+DICTIONARY = PIECES * (PIECE + 1)
 #: Bytes that are compressed at a time.
 CHUNK = 1_024
 #: Compression level, and the shortest match: short words must be found in a dictionary.
@@ -93,29 +95,31 @@ def pieces(text: str) -> Iterator[bytes]:
         yield raw[at : at + CHUNK]
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
+def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", pieces_a_language: int = PIECES) -> LanguageModel:
     """Dictionaries from the rows of `docs` that `train` accepts; ids only spread the sample."""
-    rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    rows = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     langs = rows.select("lang").distinct().count()
-    slots = max(1, min(1_024, SAMPLE_DOCS // max(1, langs)))
+    slots = max(1, min(pieces_a_language, SAMPLE_DOCS // max(1, langs)))
     picks = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
-    texts = docs.where(train & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
 
-    def chunk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def piece(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs_, hashes, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for h, text in zip(hashes, batch.column(2), strict=True):
+            found = []
+            for h, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = normal(text.as_py())
-                at = (h % max(1, len(raw) // CHUNK)) * CHUNK
-                found.append(raw[at : at + CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array(langs_, pa.string()), pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["lang", "h", "piece"])
-
-    sample = texts.join(bounded(picks, max(SAMPLE_DOCS, langs) + 1), ["lang", "h"], "left_semi").mapInArrow(chunk, "lang string, h long, piece binary")
+                at = h // 8_192 % max(1, len(raw) - PIECE + 1)
+                at = raw.rfind(b" ", 0, at + 1) + 1  # whole words from here on
+                found.append(raw[at : at + PIECE])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["lang", "h", "piece"])
+
+    chosen = rows.join(bounded(picks, max(SAMPLE_DOCS, langs) + 1), ["lang", "h"], "left_semi").mapInArrow(piece, "lang string, h long, piece binary")
+    # rows that repeat an id give one piece, so no more than the picks come to the driver
+    sample = chosen.groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect()
     by_lang: dict[str, list] = {}
-    for row in sample.toLocalIterator():
-        by_lang.setdefault(row["lang"], []).append((row["h"], bytes(row["piece"])))
-    joined = {lang: b" ".join(dict.fromkeys(x for _, x in sorted(found))) for lang, found in by_lang.items()}
-    return LanguageModel({lang: raw[-DICTIONARY:] for lang, raw in joined.items() if len(raw) >= 8})
+    for row in sorted(sample, key=lambda r: r["h"]):
+        by_lang.setdefault(row["lang"], []).append(bytes(row["piece"]))
+    joined = {lang: b" ".join(dict.fromkeys(found)) for lang, found in by_lang.items()}
+    return LanguageModel({lang: raw for lang, raw in joined.items() if len(raw) >= 8})
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
