@@ -4,17 +4,22 @@ Positives are confirmed toxic texts; everything else is unlabelled. A linear num
 trained on the class-prior-corrected risk  pi R_P(+) + max(0, R_U(-) - pi R_P(-))  with the sigmoid loss; where the
 bracket turns negative, the step climbs back instead (Kiryo et al. 2017).
 
-Fitting reads bounded samples, MAX_POSITIVE and MAX_UNLABELLED rows chosen by hash of the id; the vocabulary is counted
-over those rows with Spark and at most VOCABULARY words stay. The class prior is a parameter; unless given it is the
-toxic share of all confirmed labels of the training rows, an aggregate over the whole table. Scoring reads every whole
-text once, row by row.
+The documents that hold a word are counted over all training rows. Of the words of positives those become features whose
+share of positives is no chance: Chernoff's bound, exp(-n KL(share || overall share)), is so small that only `chance` of
+all the words would pass if none told anything; the `vocabulary` most telling ones where there are more. The risk is then
+fitted on bounded samples chosen by hash of the id: up to `max_positive` positives
+for R_P, and up to `max_unlabelled` of all training rows, positives among them, for R_U. All four are parameters. The
+class prior is one too; unless given it is the toxic share of all confirmed labels of the training rows, an aggregate over
+the whole table. Scoring reads every whole text once, row by row.
 
 Defined cases: null and empty texts score as a text without any word; without a positive row every score is the prior;
-rows whose id is null are never learned from; repeated rows repeat; extra columns play no part.
+rows whose id is null are never learned from and count as held out; rows that repeat an id are scored each and teach
+once; extra columns play no part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,21 +28,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysieve.llm.common import fold, table
+from skysieve.llm.common import fold, stored, table
 
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
-VOCABULARY = 1_024
-#: Words of fewer sampled positive texts tell nothing; nor do words whose rates differ by fewer standard errors.
-LEAST, LEAST_Z = 3, 4.0
-ROUNDS, RATE, DECAY = 300, 0.05, 1e-4
+VOCABULARY = 16_384
+#: Words that may become features by chance, expected.
+CHANCE = 0.1
+#: Words that a task counts before it passes them on.
+COUNTED = 200_000
+ROUNDS, RATE, DECAY = 600, 0.05, 1e-4
 
 #: ASCII letters in lower case; other ASCII bytes end a word.
 _WORDS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
 
+#: Bytes of a word's beginning that count as a word of their own, marked by a byte that no word has.
+STEMS = (5,)
+
+
 def words(text: bytes | None) -> set[bytes]:
-    """Distinct words of a whole text."""
-    return set(text.translate(_WORDS).split()) if text else set()
+    """Distinct words of a whole text, and the beginnings of the longer ones."""
+    if not text:
+        return set()
+    found = set(text.translate(_WORDS).split())
+    return found.union(*[{w[:n] + b"*" for w in found if len(w) > n} for n in STEMS])
 
 
 @dataclass
@@ -52,7 +66,10 @@ class ToxicModel:
 
 
 def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features: int, prior: float) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the linear classifier over a presence matrix given as (row, column) pairs."""
+    """(weights, bias) of the linear classifier over a presence matrix given as (row, column) pairs.
+
+    Rows that are not positive are the unlabelled sample; a text that is in both samples is two rows.
+    """
     n, (pos, unl) = len(positive), (positive, ~positive)
     parts = {"P": pos / max(1, pos.sum()), "U": unl / max(1, unl.sum())}
     theta, first, second = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
@@ -72,49 +89,78 @@ def nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, features: int
     return theta[:-1], float(theta[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None) -> ToxicModel:
+def risk(scores: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The non-negative risk estimate of scores under the sigmoid loss."""
+    p, u = scores[positive], scores[~positive]
+    mean = lambda x: float(x.mean()) if len(x) else 0.0
+    return prior * mean(1 - p) + max(0.0, mean(u) - prior * mean(p))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(w, n): the documents that hold each word, over all rows of column text; tasks add up before the shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        for batch in batches:
+            for x in batch.column(0):
+                held.update(words(x.as_py()))
+                if len(held) > COUNTED:
+                    yield _counted(held)
+                    held.clear()
+        yield _counted(held)
+
+    return texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _counted(held: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([*held], pa.binary()), pa.array([*held.values()], pa.int64())], ["w", "n"])
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    train: Column,
+    prior: float | None = None,
+    max_positive: int = MAX_POSITIVE,
+    max_unlabelled: int = MAX_UNLABELLED,
+    vocabulary: int = VOCABULARY,
+    chance: float = CHANCE,
+) -> ToxicModel:
     """The model from rows of `docs` that `train` (over doc_id) accepts and from `labels` (doc_id, toxic) of the same ids."""
     spark, hashed = docs.sparkSession, F.xxhash64("doc_id")
     known = labels.where(train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isNotNull())
     toxic, total = known.agg(F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0)), F.count("*")).first()
     prior = float(np.clip(prior if prior is not None else toxic / max(1, total), 1e-3, 0.5))
-    picked = [r[0] for r in known.where("toxic = 1").select("doc_id").orderBy(hashed, "doc_id").limit(MAX_POSITIVE).collect()]
+    picked = [r[0] for r in known.where("toxic = 1").select("doc_id").orderBy(hashed, "doc_id").limit(max_positive).collect()]
     if not picked:
         return ToxicModel({}, float(np.log(prior / (1 - prior))))
-    others = [r[0] for r in docs.where(train & F.col("doc_id").isNotNull()).select("doc_id").orderBy(hashed, "doc_id").limit(MAX_UNLABELLED).collect()]
-    roles = {**dict.fromkeys(others, False), **dict.fromkeys(picked, True)}
+    teach = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    others = [r[0] for r in teach.select("doc_id").distinct().orderBy(hashed, "doc_id").limit(max_unlabelled).collect()]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = spark.createDataFrame(list(roles.items()), f"doc_id {kind}, positive boolean")
-
-    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chosen = spark.createDataFrame([(i, True) for i in picked] + [(i, False) for i in others], f"doc_id {kind}, positive boolean")
+
+    # rows that repeat an id are one text of the sample, so it stays within its bounds
+    texts = teach.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.max("text").alias("text"))
+    sample = stored(texts.select("positive", F.col("text").cast("binary").alias("text")), "sample")
+    p, n = max(1, sample.where("positive").count()), max(1, teach.count())
+    common = word_counts(sample.where("positive").select("text")).withColumnRenamed("n", "p")
+    counts = stored(common.join(word_counts(teach), "w"), "words")  # a word of the positives is a word of all
+    overall, share = min(0.5, p / n), F.least(F.lit(1.0), F.col("p") / F.col("n"))
+    kl = share * F.log(share / overall) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - overall))).otherwise(0.0)
+    telling = counts.withColumn("g", F.col("n") * kl).where(F.col("g") >= float(np.log(max(1, counts.count()) / chance))).orderBy(F.desc("g"), "w").limit(vocabulary)
+    features = [bytes(r["w"]) for r in telling.select("w").collect()]
+    at = {w: i for i, w in enumerate(features)}
+
+    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words(x.as_py())) for x in batch.column(2)], pa.list_(pa.binary()))], ["doc_id", "positive", "words"])
-
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    bags = texts.select("doc_id", "positive", "text").mapInArrow(split, f"doc_id {kind}, positive boolean, words array<binary>").cache()
-    try:
-        sizes = {r["positive"]: r["count"] for r in bags.groupBy("positive").count().collect()}
-        p, u = max(1, sizes.get(True, 0)), max(1, sizes.get(False, 0))
-        counts = bags.select("positive", F.explode("words").alias("w")).groupBy("w").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.count("*").alias("all"))
-        rate = F.col("all") / (p + u)
-        error = F.sqrt(F.greatest(F.lit(1e-12), rate * (1 - rate) * (1 / p + 1 / u)))
-        counts = counts.withColumn("z", F.abs(F.col("p") / p - (F.col("all") - F.col("p")) / u) / error)
-        telling = counts.where((F.col("p") >= LEAST) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "w").limit(VOCABULARY)
-        vocabulary = [bytes(r["w"]) for r in telling.select("w").collect()]
-        at = {w: i for i, w in enumerate(vocabulary)}
-
-        def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [[at[w] for w in x if w in at] for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "ids"])
-
-        pairs = bags.select("positive", "words").mapInArrow(index, "positive boolean, ids array<int>").toPandas()
-    finally:
-        bags.unpersist()
+            found = [sorted(at[w] for w in words(x.as_py()) & at.keys()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "ids"])
+
+    pairs = sample.mapInArrow(index, "positive boolean, ids array<int>").toPandas()
     lengths = pairs["ids"].map(len).to_numpy(np.int64)
     cols = np.concatenate([*pairs["ids"], np.empty(0, np.int64)]).astype(np.int64)
-    weights, bias = nnpu(np.repeat(np.arange(len(pairs)), lengths), cols, pairs["positive"].to_numpy(bool), len(vocabulary), prior)
-    return ToxicModel({w: float(x) for w, x in zip(vocabulary, weights, strict=True) if x}, bias)
+    weights, bias = nnpu(np.repeat(np.arange(len(pairs)), lengths), cols, pairs["positive"].to_numpy(bool), len(features), prior)
+    return ToxicModel({w: float(x) for w, x in zip(features, weights, strict=True) if x}, bias)
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
