@@ -4,9 +4,13 @@ Documents aggregate to cells (source, language, topic) with their tokens; raking
 weighted tokens meet each target marginal; a document is then kept with a calibrated probability, decided by a hash of
 its id, so a rerun keeps the same documents.
 
+Targets are given shares by category; the share of REST goes to all categories of a marginal that aren't named, as their
+tokens go. A marginal without targets keeps its observed shares. A target that no cell has is left out and the others
+scaled up.
+
 Cells are as many as combinations of the three categories. Up to CELLS of them are raked in numpy on the driver, more
-by joins and aggregates between stored tables; both compute the same factors. A marginal's target that no cell has is
-left out and the rest scaled up.
+by joins and aggregates between stored tables; both compute the same factors, and neither gathers an unbounded marginal.
+The topic is a column expression, a register by whole-text shape unless another is given.
 
 Defined cases: null categories are a category of their own; null and empty texts have no tokens and the probability of
 their cell; a null id is hashed as such; repeated rows are decided alike; an empty table gives an empty table.
@@ -18,13 +22,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysieve.llm.common import bounded, stored, table
+from skysieve.llm.common import BROADCAST_ROWS, stored, table
 
 #: Cells that the driver rakes.
 CELLS = 200_000
 ROUNDS, TOLERANCE = 200, 1e-9
-#: Targets flatten the observed shares to this power; 1 would keep them.
-FLATTEN = 0.7
+#: The share of categories that aren't named.
+REST = "*"
+#: The target shares of the query and of the pipeline.
+TARGETS: dict[str, dict[str | None, float]] = {
+    "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, REST: 0.05},
+    "source": {"src0": 0.2, REST: 0.8},
+    "topic": {"prose": 0.7, "brief": 0.15, "list": 0.1, "coded": 0.05},
+}
 #: Share of all tokens that the sample should hold.
 BUDGET = 0.5
 SIDES = ("source", "lang", "topic")
@@ -48,12 +58,18 @@ def topic(text: Column, n_tokens: Column) -> Column:
     )
 
 
-def flattened(cells: DataFrame, side: str, power: float = FLATTEN) -> dict[str | None, float]:
-    """Target shares of one marginal: observed token shares to `power`, scaled to sum 1."""
-    rows = cells.groupBy(side).agg(F.sum("tokens").alias("t")).where("t > 0").collect()
-    raised = {r[0]: float(r[1]) ** power for r in rows}
-    total = sum(raised.values())
-    return {k: v / total for k, v in raised.items()}
+def goals(cells: DataFrame, side: str, targets: dict[str | None, float] | None) -> DataFrame:
+    """(key, goal): the target share of every category of a marginal that has tokens; unscaled."""
+    rows = cells.groupBy(F.col(side).alias("key")).agg(F.sum("tokens").alias("t")).where("t > 0")
+    if not targets:
+        return rows.select("key", F.col("t").cast("double").alias("goal"))
+    goal = F.lit(None).cast("double")
+    for key, share in targets.items():
+        if key != REST:
+            goal = F.when(F.col("key").eqNullSafe(F.lit(key)), F.lit(float(share))).otherwise(goal)
+    rest = rows.withColumn("goal", goal)
+    others = rest.where("goal IS NULL").agg(F.sum("t")).first()[0] or 1
+    return rest.select("key", F.coalesce("goal", F.col("t") / F.lit(float(others)) * float(targets.get(REST, 0.0))).alias("goal")).where("goal > 0")
 
 
 def rake(weights: np.ndarray, sides: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -81,11 +97,14 @@ def _rake_by_joins(cells: DataFrame, targets: dict[str, DataFrame], rounds: int,
         worst = 0.0
         for side in SIDES:
             have = now.groupBy(side).agg(F.sum("fitted").alias("have"))
-            goals = have.join(targets[side], have[side].eqNullSafe(targets[side]["key"])).select(side, "have", "goal")
-            scale = goals.agg(F.sum("goal")).first()[0]
-            factors = stored(goals.select(F.col(side).alias("key"), (F.col("goal") / F.lit(scale) / F.col("have")).alias("factor")), "factors")
+            met = have.join(targets[side], have[side].eqNullSafe(targets[side]["key"]), "left").select(side, "have", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+            scale = met.agg(F.sum("goal")).first()[0]
+            factors = stored(met.select(F.col(side).alias("key"), (F.col("goal") / F.lit(scale) / F.col("have")).alias("factor")).where("factor IS NOT NULL"), "factors")
             worst = max(worst, factors.agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0.0)
-            now = stored(now.join(factors, now[side].eqNullSafe(factors["key"])).select(*SIDES, "tokens", "n", (F.col("fitted") * F.col("factor")).alias("fitted")), "cells")
+            # a category of a table in one piece: hot ones are dealt over copies of their factor
+            marked = now.withColumn("salt", F.pmod(F.xxhash64(*SIDES), F.lit(16)))
+            spread = factors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+            now = stored(marked.join(spread, marked[side].eqNullSafe(spread["key"]) & (marked["salt"] == spread["salt"])).select(*SIDES, "tokens", "n", (F.col("fitted") * F.col("factor")).alias("fitted")), "cells")
         if worst < tolerance:
             break
     return now.select(*SIDES, "fitted")
@@ -95,22 +114,22 @@ def cell_probabilities(cells: DataFrame, targets: dict[str, dict] | None = None,
     """(source, lang, topic, weight, probability): weight is fitted over observed share, and the kept tokens' expected
     share of all tokens is `budget` as far as probabilities of 1 allow."""
     spark = cells.sparkSession
-    goals = {side: (targets or {}).get(side) or flattened(cells, side) for side in SIDES}
+    wanted = {side: goals(cells, side, (targets or {}).get(side)) for side in SIDES}
     if cells.limit(most_cells + 1).count() <= most_cells:
         rows = cells.orderBy(*SIDES).collect()
         live = [r for r in rows if r["tokens"] > 0]
         weights = np.array([float(r["tokens"]) for r in live])
         codes, marks = [], []
         for side in SIDES:
-            names = {k: i for i, k in enumerate(dict.fromkeys([*goals[side], *(r[side] for r in live)]))}
+            names = {k: i for i, k in enumerate(dict.fromkeys(r[side] for r in live))}
+            found = dict(wanted[side].collect())  # as many as cells at most
             codes.append(np.array([names[r[side]] for r in live], np.int64))
-            marks.append(np.array([goals[side].get(k, 0.0) for k in names]))
+            marks.append(np.array([found.get(k, 0.0) for k in names]))
         fitted = rake(weights, codes, marks) if live else weights
         fit_rows = [(*(r[s] for s in SIDES), float(x)) for r, x in zip(live, fitted, strict=True)]
         fits = spark.createDataFrame(fit_rows, cells.select(*SIDES).schema.add("fitted", "double"))
     else:
-        goal_tables = {side: spark.createDataFrame([*goals[side].items()], f"key {cells.schema[side].dataType.simpleString()}, goal double") for side in SIDES}
-        fits = _rake_by_joins(cells, goal_tables, ROUNDS, TOLERANCE)
+        fits = _rake_by_joins(cells, wanted, ROUNDS, TOLERANCE)
     both = cells.alias("c").join(fits.alias("f"), [F.col(f"c.{s}").eqNullSafe(F.col(f"f.{s}")) for s in SIDES], "left")
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     ratio = F.coalesce(F.col("fitted") * F.lit(float(total)) / F.col("tokens"), F.lit(1.0))
@@ -130,28 +149,35 @@ def chance(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string"), F.lit("mixing")), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def weigh(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _named(rows: DataFrame, found: DataFrame, *values: str) -> DataFrame:
+    """`rows` with the values of their cells: few cells travel to the rows, many by a join over copies of hot cells."""
+    cells = found.select(*[F.col(s).alias(f"c_{s}") for s in SIDES], *values)
+    same = [F.col(s).eqNullSafe(F.col(f"c_{s}")) for s in SIDES]
+    if cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(cells), same, "left")
+    spread = F.sequence(F.lit(0), F.lit(63))
+    return rows.withColumn("salt", F.floor(F.rand(7) * 64).cast("int")).join(cells.withColumn("c_salt", F.explode(spread)), [*same, F.col("salt") == F.col("c_salt")], "left")
+
+
+def weigh(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", topic_col: Column | None = None) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, probability, kept) of every row."""
     n = tokens(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), "source", "lang", n.alias("n_tokens"), topic(F.col(text_col), n).alias("topic"))
+    rows = docs.select(F.col(id_col).alias("id"), "source", "lang", n.alias("n_tokens"), (topic(F.col(text_col), n) if topic_col is None else topic_col).alias("topic"))
     rows = stored(rows, "tokens")
     cells = stored(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "cells")
     found = cell_probabilities(cells, targets, budget)
-    named = bounded(found.select(*[F.col(s).alias(f"c_{s}") for s in SIDES], "weight", "probability"))
-    joined = rows.join(named, [F.col(s).eqNullSafe(F.col(f"c_{s}")) for s in SIDES], "left")
+    joined = _named(rows, found, "weight", "probability")
     return joined.select("id", *SIDES, "n_tokens", "weight", "probability", (chance(F.col("id")) < F.col("probability")).alias("kept"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, topic_col: Column | None = None) -> DataFrame:
     """The sampled rows of `docs`, all columns as they are, with no shuffle of texts."""
     n = tokens(F.col("text"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), topic(F.col("text"), n).alias("topic"), n.alias("n_tokens"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), F.col("lang").alias("lang"), (topic(F.col("text"), n) if topic_col is None else topic_col).alias("topic"), n.alias("n_tokens"))
     cells = stored(marked.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "cells")
     found = cell_probabilities(cells, targets, budget)
-    named = bounded(found.select(*[F.col(s).alias(f"c_{s}") for s in SIDES], "probability"))
-    joined = marked.join(named, [F.col(s).eqNullSafe(F.col(f"c_{s}")) for s in SIDES], "left")
-    return joined.where(chance(F.col("row.doc_id")) < F.col("probability")).select("row.*")
+    return _named(marked, found, "probability").where(chance(F.col("row.doc_id")) < F.col("probability")).select("row.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weigh(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")).withColumnRenamed("id", "doc_id")
+    return weigh(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), TARGETS).withColumnRenamed("id", "doc_id")
