@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet the target shares of source, language and topic."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, mixing.TARGETS)
 
 
 STAGES = [
