@@ -1,18 +1,19 @@
 """URL filter: rules by host and path, and a weighted vocabulary matched by an Aho-Corasick automaton.
 
-Strict terms reject a URL at one hit, soft terms when several distinct ones hit. A hit counts only between boundaries:
-neither neighbour of the term may be a letter or digit. Matching is done once a URL in one pass of the automaton.
+Terms have weights. Strict ones weigh the limit or more and reject a URL at one hit; soft ones weigh less and reject when
+the weights of the distinct terms that hit reach the limit: several of them. A hit counts only between boundaries: neither
+neighbour of the term may be a letter or digit. A vocabulary may come from a table of terms and weights. Matching is done once a URL in one pass of the automaton.
 
 Rules name a host and a path ("net/de/"). A rule fits its host and all subdomains where the URL's path starts with the
 rule's path; the longest fitting rule decides, before the vocabulary.
 
 Defined cases: a null URL or one without "://" has an empty host and path, fits no rule and is judged by the vocabulary
-alone (null: allow); repeated rows repeat; an empty table gives an empty table.
+alone (null: allow); whole URLs of any length are matched; rows with a null id are judged like others; repeated rows repeat; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -32,23 +33,36 @@ SOFT_HITS = 2
 
 @dataclass
 class Vocabulary:
-    """Term weights: strict terms weigh `soft_hits`, soft ones 1; a URL goes at a total of `soft_hits`."""
+    """Strict terms, soft terms (of weight 1, or with weights of their own below the limit) and the limit."""
 
-    strict: tuple[str, ...] = STRICT
-    soft: tuple[str, ...] = SOFT
+    strict: Iterable[str] = STRICT
+    soft: Iterable[str] | Mapping[str, int] = SOFT
     soft_hits: int = SOFT_HITS
     _made: list = field(default_factory=list, repr=False, compare=False)
 
+    @classmethod
+    def of(cls, terms: DataFrame, limit: int = SOFT_HITS) -> Vocabulary:
+        """From a table (term, weight); the larger weight of a repeated term counts, terms without letters or digits don't.
+
+        The terms travel to the tasks, so they must fit there."""
+        rows = terms.where(F.col("term").isNotNull() & (F.col("weight") > 0)).groupBy(F.lower("term").alias("term")).agg(F.max("weight").cast("int").alias("weight")).collect()
+        found = {r["term"]: r["weight"] for r in rows if any(map(str.isalnum, r["term"]))}
+        return cls(tuple(t for t, w in found.items() if w >= limit), {t: w for t, w in found.items() if w < limit}, limit)
+
     def __getstate__(self) -> dict:
         return {"strict": self.strict, "soft": self.soft, "soft_hits": self.soft_hits, "_made": []}
 
-    def hits(self, url: str | None) -> tuple[int, int]:
-        """(strict hits, distinct soft terms) of a URL, A-Z lower-cased."""
+    def weights(self) -> dict[str, int]:
+        """Weights of the soft terms."""
+        return dict(self.soft) if isinstance(self.soft, Mapping) else dict.fromkeys(self.soft, 1)
+
+    def found(self, url: str | None) -> tuple[int, set[str]]:
+        """(strict hits, distinct soft terms) of a URL in lower case."""
         if not url or not (self.strict or self.soft):
-            return 0, 0
+            return 0, set()
         if not self._made:
             automaton = ahocorasick.Automaton()
-            for strict, terms in ((False, self.soft), (True, self.strict)):
+            for strict, terms in ((False, self.weights()), (True, self.strict)):
                 for term in terms:
                     automaton.add_word(term, (term, strict))
             automaton.make_automaton()
@@ -62,11 +76,16 @@ class Vocabulary:
                 strict += 1
             else:
                 soft.add(term)
-        return strict, len(soft)
+        return strict, soft
+
+    def hits(self, url: str | None) -> tuple[int, int, int]:
+        """(strict hits, distinct soft terms, their weight) of a URL."""
+        (strict, soft), weights = self.found(url), self.weights()
+        return strict, len(soft), sum(weights[t] for t in soft)
 
     def rejects(self, url: str | None) -> bool:
-        strict, soft = self.hits(url)
-        return strict * self.soft_hits + soft >= self.soft_hits
+        strict, _, weight = self.hits(url)
+        return strict > 0 or weight >= self.soft_hits
 
 
 def _lower(c: Column) -> Column:
@@ -101,12 +120,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [vocabulary.hits(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32())], ["id", "url", "strict_hits", "soft_terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.int32()) for k in range(3))], ["id", "url", "strict_hits", "soft_terms", "soft_weight"])
 
-    hit = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(run, f"id {kind}, url string, strict_hits int, soft_terms int")
+    hit = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(run, f"id {kind}, url string, strict_hits int, soft_terms int, soft_weight int")
     split = hit.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     split = split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("strict_hits") * vocabulary.soft_hits + F.col("soft_terms") >= vocabulary.soft_hits, "block").otherwise("allow")
+    own = F.when((F.col("strict_hits") > 0) | (F.col("soft_weight") >= vocabulary.soft_hits), "block").otherwise("allow")
     decided = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules.items()], own) if rules else own
     return split.select("id", "host", "path", "rule", decided.alias("verdict"), "strict_hits", "soft_terms")
 
