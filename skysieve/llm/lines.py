@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.llm.bloom import bits_for, seen, twice_seen
-from skysieve.llm.common import BROADCAST_ROWS, stored, table
+from skysieve.llm.common import BROADCAST_ROWS, salted_lookup, stored, table
 
 _ENDS = b" \t\n\x0b\x0c\r"
 
@@ -99,13 +99,14 @@ def strip_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", le
         def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [[digest_of(k) for k in _keys(x.as_py(), least_chars)] for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], ["n", "digests"])
-
-        rows = rows.withColumn("n", F.monotonically_increasing_id())
-        rows = stored(rows, "rows")
-        hits = rows.select("n", "text").mapInArrow(digests, "n long, digests array<binary>").select("n", F.explode("digests").alias("digest"))
-        hits = hits.join(frequent.select("digest").hint("merge"), "digest").groupBy("n").agg(F.collect_list("digest").alias("digests"))
-        rows = rows.join(hits.hint("merge"), "n", "left").drop("n")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.binary()))], ["number", "digests"])
+
+        rows = stored(rows.withColumn("number", F.monotonically_increasing_id()), "rows")
+        hits = rows.select("number", "text").mapInArrow(digests, "number long, digests array<binary>").select("number", F.explode("digests").alias("digest"))
+        total = frequent.agg(F.sum("n")).first()[0]
+        hits = salted_lookup(hits, frequent, ["digest"], "n", total, F.col("number")).where(F.col("n").isNotNull())
+        hits = hits.groupBy("number").agg(F.collect_list("digest").alias("digests"))
+        rows = rows.join(hits.hint("merge"), "number", "left").drop("number")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
