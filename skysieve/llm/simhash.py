@@ -120,7 +120,7 @@ def _split(far: np.ndarray) -> int:
 
 def shard_links(fps: np.ndarray, owned: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest, as index pairs, of the links between owned fingerprints and any other of the shard."""
-    group, forest = np.arange(len(fps)), []
+    parent, forest = np.arange(len(fps)), []
     stack = [(np.nonzero(owned)[0], np.arange(len(fps)))]
     while stack:
         mine, all_ = stack.pop()
@@ -139,13 +139,24 @@ def shard_links(fps: np.ndarray, owned: np.ndarray, radius: int) -> list[tuple[i
             close = np.bitwise_count(fps[mine[at : at + step], None] ^ fps[None, all_]) <= radius
             for i in np.nonzero(np.count_nonzero(close, axis=1) > 1)[0].tolist():
                 me, others = int(mine[at + i]), all_[close[i]]
-                for j in others[np.unique(group[others], return_index=True)[1]].tolist():
-                    if group[j] != group[me]:
-                        group[group == group[j]] = group[me]
-                        forest.append((me, j))
+                root = int(_roots(parent, np.array([me]))[0])
+                found, first = np.unique(_roots(parent, others), return_index=True)
+                for other, k in zip(found.tolist(), first.tolist(), strict=True):
+                    if other != root:
+                        parent[other] = root
+                        forest.append((me, int(others[k])))
     return forest
 
 
+def _roots(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Roots of union-find nodes, which point at them from now on."""
+    out = parent[nodes]
+    while (up := parent[out]).any() and (up != out).any():
+        out = up
+    parent[nodes] = out
+    return out
+
+
 def near_links(distinct: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): a forest a shard over the distinct fingerprints in column fp, whose components are those of all links."""
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
