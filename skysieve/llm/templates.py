@@ -6,7 +6,8 @@ shorter items: the whole item) of the benchmark are hashed; documents' windows j
 than LITERALS literal words are left out unless the item has no other. Matches of a document and an item on one
 alignment must fill slots consistently: an item's slot value always meets the same document value; that catches
 re-parameterised questions, and leaves alone texts that only share a frame. An item counts as found when its consistent
-windows cover at least COVERAGE of all its windows, or, on absolute evidence, when one alignment matches RUN template
+windows cover at least COVERAGE of all its windows (those of several alignments together only where their slot values
+agree too, else the best alignment's), or, on absolute evidence, when one alignment matches RUN template
 words without a gap, or the words of its matched windows are RUN at least and COVERAGE of its words: a passage of a long
 item matches few of its windows, and one edited word breaks eight of them. Only windows of enough literals are evidence.
 
@@ -253,14 +254,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         F.first("windows").alias("n_windows"),
         F.first("words").alias("words"),
         F.max("run").alias("run"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n_covered"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_matched"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("all_covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("all_matched"),
+        F.max(F.size("covered")).alias("one_covered"),
+        F.max(F.size("places")).alias("one_matched"),
+        F.array_distinct(F.flatten(F.collect_list("filled"))).alias("all_filled"),
         F.max(F.size("filled")).alias("n_slots"),
         F.bool_and("changed").alias("slots_changed"),
     )
+    # alignments that contradict each other don't add up
+    agree = F.size("all_filled") * CONSISTENT <= F.size(F.array_distinct(F.transform("all_filled", lambda x: x["slots"])))
+    found = found.withColumns({"n_matched": F.when(agree, F.col("all_matched")).otherwise(F.col("one_matched")), "n_covered": F.when(agree, F.col("all_covered")).otherwise(F.col("one_covered"))})
     found = found.withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     absolute = (F.col("words") > 0) & ((F.col("run") >= RUN) | (F.col("n_covered") >= RUN) & (F.col("n_covered") >= F.lit(coverage) * F.col("words")))
-    return found.where((F.col("coverage") >= coverage) | absolute).drop("words", "run", "n_covered")
+    return found.where((F.col("coverage") >= coverage) | absolute).select("id", "item", "n_windows", "n_matched", "n_slots", "slots_changed", "coverage")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

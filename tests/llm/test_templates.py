@@ -77,3 +77,61 @@ def test_query_finds_every_verbatim_item(spark):
     want = {(i, j) for j, t in zip(bench.item_id, bench.text) for i, x in zip(docs.doc_id, docs.text) if t in x}
     got = {(r["doc_id"], r["item_id"]) for r in templates.op2(spark, d).collect()}
     assert want and want == got
+
+
+def brute_matches(docs, items):
+    """(id, item): (n_windows, n_matched, n_slots, slots_changed) by comparing every window of template words."""
+    texts, found = {}, {}
+    for i, text in docs:
+        if i is not None:
+            texts.setdefault(i, []).append(templates.template(text))
+    for item, text in items:
+        mine, parts = templates.item_windows(text), templates.template(text)[0]
+        for i, rows in texts.items():
+            by_shift = {}
+            for words, values in rows:
+                for _, w, pos, slots, n in mine:
+                    want = parts[pos : pos + w]
+                    for at in range(len(words) - w + 1):
+                        if words[at : at + w] == want:
+                            filled = [v for v in values[at : at + w] if v]
+                            if len(filled) == len(slots):
+                                by_shift.setdefault(at - pos, []).append((pos, w, tuple(zip(slots, filled)), n))
+            good = []
+            for hits in by_shift.values():
+                pairs = {p for h in hits for p in h[2]}
+                if len(pairs) * templates.CONSISTENT <= len({a for a, _ in pairs}):
+                    covered = sorted({x for h in hits for x in range(h[0], h[0] + h[1])})
+                    run = best = 0
+                    for a, b in zip([None, *covered], covered):
+                        run = run + 1 if a is not None and b == a + 1 else 1
+                        best = max(best, run)
+                    good.append(({h[0] for h in hits}, set(covered), best, pairs, hits[0][3]))
+            if not good:
+                continue
+            every = set().union(*[g[3] for g in good])
+            agree = len(every) * templates.CONSISTENT <= len({a for a, _ in every})
+            matched, covered = (len(set().union(*[g[k] for g in good])) if agree else max(len(g[k]) for g in good) for k in (0, 1))
+            words = good[0][4]
+            absolute = words and (max(g[2] for g in good) >= templates.RUN or covered >= templates.RUN and covered >= templates.COVERAGE * words)
+            if matched / len(mine) >= templates.COVERAGE or absolute:
+                found[i, item] = (len(mine), matched, max(len(g[3]) for g in good), all(any(a != b for a, b in g[3]) for g in good))
+    return found
+
+
+def test_query_against_every_window(spark):
+    d = "/root/testdata/sf0.001"
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{d}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"], r["n_slots"], r["slots_changed"]) for r in templates.op2(spark, d).collect()}
+    assert got and got == brute_matches(docs, items)
+
+
+def test_repeats_ties_and_contradictions(spark, documents):
+    rng = np.random.default_rng(5)
+    filler = _filler(rng)
+    parts = ITEM.split()
+    halves = " ".join(parts[:13]) + " " + filler + " " + " ".join(parts[13:]).replace("5", "77").replace("Tom", "Kim")
+    rows = [(1, ITEM), (1, ITEM), (2, filler), (2, ITEM), (3, halves), (4, ITEM + " " + filler + " " + ITEM.replace("12", "99").replace("7", "55")), (5, " ".join(parts[:14])), (None, ITEM)]
+    bench = [(10, ITEM), (11, ITEM), (12, "no " * 30)]
+    got = {(r["id"], r["item"]): (r["n_windows"], r["n_matched"], r["n_slots"], r["slots_changed"]) for r in templates.matches(documents(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == brute_matches(rows, bench) and {(1, 10), (1, 11), (2, 10), (4, 11)} <= got.keys()
