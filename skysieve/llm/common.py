@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast lookup may hold. Every broadcast in this package counts its rows first.
+#: Rows that a broadcast lookup may hold. Broadcasts in this package count their rows first or have a stated bound.
 BROADCAST_ROWS = 500_000
 
 
@@ -33,19 +33,35 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (a local test session) a temporary folder is made and set.
+    Only in a local session without that setting, as in tests, a temporary folder is made and set.
     """
     lean(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="skysieve-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that `stored` has written.
+_WRITTEN: set[str] = set()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what `stored` has written in this application; tables that are still read must be written elsewhere first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in sorted(_WRITTEN):
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to shared storage and read again: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
+    _WRITTEN.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

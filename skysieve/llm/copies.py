@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from skysieve.llm.common import bounded, drop_ids, salted_lookup, stored
 from skysieve.llm.simhash import components, fingerprint, near_links, shingle_hashes
@@ -238,8 +239,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, all columns as they are, with one document of each group: the one with the smallest id."""
+    number = isinstance(docs.schema[id_col].dataType, IntegralType)
     repeated = stored(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__k")).where("__k > 1").select(id_col), "repeated")
-    if not repeated.isEmpty():
+    if not number or not repeated.isEmpty():
         return _keep_one_row(docs, repeated, id_col, text_col, width, similarity)
     found = groups(docs, id_col, text_col, width, similarity)
     gone = stored(found.where("root < id").select(F.col("id").alias(id_col)).distinct(), "copies")

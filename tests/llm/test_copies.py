@@ -105,3 +105,11 @@ def test_repeated_ids(spark, documents):
     rows = [(3, a), (5, a), (5, b), (7, "a row that stands here twice"), (7, "a row that stands here twice"), (8, None), (8, ""), (None, a), (None, a)]
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in copies.keep_one(documents(rows)).collect())
     assert kept == [(0, a), (0, a), (3, a), (5, b), (7, "a row that stands here twice"), (8, "")]
+
+
+def test_ids_of_text(spark, documents):
+    from pyspark.sql import functions as F
+
+    a, b = "one text of seven words in all", "quite another text that has no copy"
+    docs = documents([(1, a), (2, a), (3, b)]).withColumn("doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))
+    assert sorted(r["doc_id"] for r in copies.keep_one(docs).collect()) == ["d/1", "d/3"]
