@@ -77,7 +77,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(bounded(ids.select(key).distinct()), key, "left_anti")
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, total: int, spread: Column, parts: int = 1024) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, total: int, spread: Column, parts: int = 256) -> DataFrame:
     """Left join with a lookup table that has one row a key, where a key may hold a third of all left rows.
 
     `right[count]` says how many left rows a key has. Keys with more than total / parts of them are hot: there are
