@@ -258,9 +258,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     path = shared_dir(spark, "warc")
     write_archive(packed_records(pages), path)
-    # one pass over the archive gives the headers and the payloads by digest; every record is then built from both
-    back = stored(read_archive(spark, path, packed=True), "records")
-    whole = reconstruct(back.select("record", "id", "kind", "to", "key"), back.where("kind = 'response'"), packed=True, unique=True)
+    # the headers are kept, the payloads by digest come from the archive as it stands; every record is built from both
+    headers = stored(read_archive(spark, path, with_payload=False).select("record", "id", "kind", "to", "key"), "headers")
+    whole = reconstruct(headers, read_archive(spark, path, packed=True).where("kind = 'response'"), packed=True, unique=True)
     kind = pages.schema["page_id"].dataType
     number = lambda c: F.expr(f"try_cast({c} AS {kind.simpleString()})")
     return whole.select(number("id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"), F.col("kind").alias("record_type"), number("`to`").alias("refers_to"))
