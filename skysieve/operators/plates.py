@@ -96,11 +96,16 @@ def plate_of_tile(tiles: DataFrame, plates: DataFrame, most_deg: float = 4.0, wa
 def covering_tile(rows: DataFrame, tiles: DataFrame, key: str, band_deg: float = 1.0) -> DataFrame:
     """`rows` with the tile whose footprint holds them; among several the least |dDec| + |dRA|, then the smaller name.
 
-    `tiles`: tile_id, ra0, dec0, half_w, half_h (degrees; half_h <= band_deg). Declination bands give the equality key.
+    `tiles`: tile_id, ra0, dec0, half_w, half_h (degrees; half_h <= band_deg). Declination bands and cells of ten degrees of
+    RA give the equality key.
     """
     band = lambda c: F.floor((F.col(c) + 90.0) / band_deg).cast("int")
     right = tiles.withColumn("__band", F.explode(F.array(band("dec0") - 1, band("dec0"), band("dec0") + 1)))
-    met = rows.where(sky.finite("ra", "dec")).withColumn("__band", band("dec")).join(right, "__band").where(sky.in_footprint("ra", "dec", "ra0", "dec0", "half_w", "half_h"))
+    reach = F.least(F.lit(180.0), F.col("half_w") / F.greatest(F.lit(1e-6), F.cos(F.radians("dec0"))) + 1e-9)
+    cells = F.sequence(F.floor((F.col("ra0") - reach) / 10.0), F.floor((F.col("ra0") + reach) / 10.0))
+    right = right.withColumn("__cell", F.explode(F.array_distinct(F.transform(cells, lambda c: F.pmod(c, F.lit(36))))))
+    left = rows.where(sky.finite("ra", "dec")).withColumn("__band", band("dec")).withColumn("__cell", F.floor(sky.wrap360("ra") / 10.0))
+    met = left.join(right, ["__band", "__cell"]).where(sky.in_footprint("ra", "dec", "ra0", "dec0", "half_w", "half_h"))
     score = F.abs(F.col("dec") - F.col("dec0")) + F.abs(sky.wrap180(F.col("ra") - F.col("ra0")))
     others = [c for c in [*rows.columns, *tiles.columns] if c != key]
     return met.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(score.alias("s"), F.col("tile_id"))).alias("__t")).select(key, "__t.*")

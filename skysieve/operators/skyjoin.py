@@ -1,9 +1,10 @@
 """Joins on the sphere.
 
-A radius becomes declination zones of that height and RA cells whose width is safe for the largest |Dec| a zone can
-meet; the left side keeps its own cell, the right side is copied to the neighbouring ones, and the pair is found by an
-equality join on (zone, cell) with the exact separation as a filter. So the plan is a hash or sort-merge join that
-adaptive execution can broadcast or split, never a nested loop. Rows whose position isn't finite have no partner.
+A radius becomes declination zones of several radii and RA cells whose width is safe for the largest |Dec| of a zone. One
+side keeps its own cell; the other is copied to the cells that its circle reaches, which is one cell for most rows, and
+the pair is found by an equality join on (zone, cell) with the exact separation as a filter. So the plan is a hash or
+sort-merge join that adaptive execution can broadcast or split, never a nested loop. The smaller side is the one that is
+copied, by the optimizer's size estimate unless the caller says. Rows whose position isn't finite have no partner.
 """
 
 from __future__ import annotations
@@ -21,39 +22,51 @@ from skysieve.session import cut
 ZONE, CELL = "__zone", "__cell"
 
 
-def _cells(zone: Column, height: float, radius: float) -> Column:
-    """Number of RA cells of a zone; a function of the zone alone, so that both sides agree."""
-    top = F.least(F.lit(90.0), F.greatest(F.abs((zone - 1) * height - 90.0), F.abs((zone + 2) * height - 90.0)))
-    near_pole = (top + radius >= 89.999) | (F.cos(F.radians(top)) <= math.sin(math.radians(radius)))
-    ratio = F.least(F.lit(1.0), math.sin(math.radians(radius)) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)))
-    return F.when(near_pole, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / F.degrees(F.asin(ratio))))).cast("long")
+#: Radii of a zone's height and a cell's width; one beyond WIDE degrees.
+FACTOR, WIDE = 8.0, 0.5
+
+
+def _zone_cells(zone: Column, height: float, radius: float, factor: float) -> tuple[Column, Column]:
+    """(number of RA cells, RA reach of the radius in degrees) of a zone: functions of the zone alone, so both sides agree."""
+    top = F.least(F.lit(90.0), F.greatest(F.abs(zone * height - 90.0), F.abs((zone + 1) * height - 90.0)))
+    near_pole = (top + radius >= 89.999) | (F.cos(F.radians(top)) <= math.sin(math.radians(min(radius, 90.0))))
+    ratio = F.least(F.lit(1.0), math.sin(math.radians(min(radius, 90.0))) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12)))
+    reach = F.degrees(F.asin(ratio)) * (1 + 1e-9) + 1e-9
+    return F.when(near_pole, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / (factor * reach)))).cast("long"), reach
 
 
 def zoned(df: DataFrame, coords: tuple[str, str], radius_arcsec: float, copies: bool) -> DataFrame:
-    """`df` with its finite rows dealt to (zone, cell); `copies` also to all neighbouring zones and cells."""
+    """`df` with its finite rows dealt to (zone, cell); `copies` to every zone and cell that the radius reaches."""
     radius = radius_arcsec / 3600.0
-    height = max(radius, 1.0 / 3600.0)
+    factor = FACTOR if radius <= WIDE else 1.0
+    height = max(factor * radius, 1.0 / 3600.0)
     ra, dec = sanitize(*coords)
     df = df.where(finite(*coords))
-    own = F.floor((dec + 90.0) / height).cast("long")
+    zone_of = lambda d: F.floor((d + 90.0) / height).cast("long")
     if not copies:
-        zone = df.withColumn(ZONE, own)
-        n = _cells(F.col(ZONE), height, radius)
+        zone = df.withColumn(ZONE, zone_of(dec))
+        n, _ = _zone_cells(F.col(ZONE), height, radius, factor)
         return zone.withColumn(CELL, F.pmod(F.floor(ra * n / 360.0).cast("long"), n))
-    zone = df.withColumn(ZONE, F.explode(F.array(own - 1, own, own + 1)))
-    n = _cells(F.col(ZONE), height, radius)
-    middle = F.floor(ra * n / 360.0).cast("long")
-    return zone.withColumn(CELL, F.explode(F.array_distinct(F.array(*[F.pmod(middle + k, n) for k in (-1, 0, 1)]))))
+    pad = radius * (1 + 1e-9) + 1e-9
+    zone = df.withColumn(ZONE, F.explode(F.array_distinct(F.array(zone_of(dec - pad), zone_of(dec), zone_of(dec + pad)))))
+    n, reach = _zone_cells(F.col(ZONE), height, radius, factor)
+    return zone.withColumn(CELL, F.explode(F.array_distinct(F.array(*[F.pmod(F.floor((ra + k * reach) * n / 360.0).cast("long"), n) for k in (-1, 0, 1)]))))
+
+
+def _bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def pairs(left: DataFrame, right: DataFrame, radius_arcsec: float, left_coords: tuple[str, str] = ("ra", "dec"), right_coords: tuple[str, str] = ("ra", "dec"), suffixes: tuple[str, str] = ("_1", "_2"), sep: str = "sep_arcsec") -> DataFrame:
-    """All pairs within the radius with their separation; clashing names take the suffixes."""
+def pairs(left: DataFrame, right: DataFrame, radius_arcsec: float, left_coords: tuple[str, str] = ("ra", "dec"), right_coords: tuple[str, str] = ("ra", "dec"), suffixes: tuple[str, str] = ("_1", "_2"), sep: str = "sep_arcsec", copy: str = "auto") -> DataFrame:
+    """All pairs within the radius with their separation; clashing names take the suffixes. `copy`: left, right or auto."""
     clash = set(left.columns) & set(right.columns)
     l_name = {c: c + suffixes[0] if c in clash else c for c in left.columns}
     r_name = {c: c + suffixes[1] if c in clash else c for c in right.columns}
     a, b = left.withColumnsRenamed(l_name), right.withColumnsRenamed(r_name)
     lc, rc = tuple(l_name[c] for c in left_coords), tuple(r_name[c] for c in right_coords)
-    met = zoned(a, lc, radius_arcsec, False).join(zoned(b, rc, radius_arcsec, True), [ZONE, CELL])
+    left_copied = copy == "left" or copy == "auto" and _bytes(left) < _bytes(right)
+    met = zoned(a, lc, radius_arcsec, left_copied).join(zoned(b, rc, radius_arcsec, not left_copied), [ZONE, CELL])
     return met.withColumn(sep, sep_arcsec(*lc, *rc)).where(F.col(sep) <= radius_arcsec).drop(ZONE, CELL)
 
 

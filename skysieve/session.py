@@ -23,8 +23,10 @@ def session(app: str = "skysieve", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` checkpointed to the folder in spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """`df` checkpointed to the folder in spark.checkpoint.dir (a temporary one only in a local session without it)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not (context.master.startswith("local") or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skysieve-"))
     return df.checkpoint()
