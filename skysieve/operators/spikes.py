@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.functions.text import valid_magnitude
@@ -65,3 +65,38 @@ def judged(df: DataFrame, rules: Sequence[ConstRule | LineRule] = RULES, faintes
         reject = reject | h
     reason = F.array_join(F.array_compact(F.array(*[F.when(h, r.says(m, d)) for h, r in zip(hits, rules, strict=True)]).cast("array<string>")), ";")
     return df.withColumn("spike_reject", reject).withColumn("spike_reason", reason)
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[ConstRule | LineRule, ...]:
+    """Rules of a YAML file: a list, or a mapping with the list under `rules`."""
+    import yaml
+
+    from skysieve.sources.tables import read_text
+
+    found = yaml.safe_load(read_text(spark, path)) or []
+    return rules_from(found.get("rules", []) if isinstance(found, dict) else found)
+
+
+#: Magnitude columns of bright-star tables, the preferred first.
+MAGNITUDES = ("phot_rp_mean_mag", "phot_g_mean_mag", "phot_bp_mean_mag", "VTmag", "BTmag", "Rmag", "RPmag", "r_mag", "r", "Vmag")
+
+
+def magnitude_column(columns: Sequence[str], wanted: str | None = None, preference: Sequence[str] = MAGNITUDES) -> str:
+    """The wanted column, else the first preferred one, else the first with `mag` in its name."""
+    for name in ([wanted] if wanted else []) + [*preference]:
+        if name in columns:
+            return name
+    found = next((c for c in columns if "mag" in c.lower()), None)
+    if found is None:
+        raise KeyError(f"no magnitude among {', '.join(columns)}")
+    return found
+
+
+def mask_radius(m: Column, rules: Sequence[ConstRule | LineRule] = RULES, search_arcmin: float = 1.5) -> Column:
+    """Arcseconds about a star inside which its rules reject: the whole search radius by a constant rule, the distance
+    where the line meets the magnitude by a line rule, 0 where none does."""
+    most, out = search_arcmin * 60.0, F.lit(0.0)
+    for r in rules:
+        reach = F.when(m <= r.limit, F.lit(most)) if isinstance(r, ConstRule) else (m - r.offset) / r.slope
+        out = F.greatest(out, F.least(F.lit(most), F.coalesce(reach, F.lit(0.0))))
+    return out

@@ -101,3 +101,26 @@ def tile_status(tiles: DataFrame) -> DataFrame:
     steps = [c for c in ("has_image", "has_catalogue", "has_xmatch", "has_summary") if c in tiles.columns]
     warn = [F.when(F.col(b) & ~F.col(a), F.lit(f"{b} without {a}")) for a, b in zip(steps, steps[1:])]
     return tiles.withColumn("warnings", F.array_compact(F.array(*warn).cast("array<string>"))).withColumn("last_step", F.coalesce(*[F.when(F.col(s), F.lit(s)) for s in reversed(steps)], F.lit("none")))
+
+
+#: Parts of messages that a service repeats for the same rows, whatever one retries.
+DOMAIN_ERRORS = ("field ra < 0 or > 360", "malformed coordinates", "out of range in column ra", "invalid literal for float", "saxparseexception")
+
+
+def domain_error(message: Column) -> Column:
+    """Whether a service's message means a fault of the rows, which no retry mends."""
+    said = F.lower(F.coalesce(message, F.lit("")))
+    out = F.lit(False)
+    for part in DOMAIN_ERRORS:
+        out = out | said.contains(part)
+    return out
+
+
+def needs_step(files: DataFrame, sources: str, suffix: str) -> DataFrame:
+    """(tile_id, needed) from files (tile_id, name): a step is needed where a tile has no source (a regular expression)
+    or a source, without its ending, has no result of that suffix."""
+    stem = F.regexp_replace("name", r"\.[^.]+$", "")
+    made = files.where(F.col("name").endswith(suffix)).select("tile_id", F.expr(f"left(name, length(name) - {len(suffix)})").alias("stem"), F.lit(True).alias("made")).distinct()
+    wanted = files.where(F.col("name").rlike(sources) & ~F.col("name").endswith(suffix)).select("tile_id", stem.alias("stem")).distinct()
+    state = wanted.join(made, ["tile_id", "stem"], "left").groupBy("tile_id").agg(F.bool_or(F.col("made").isNull()).alias("open"))
+    return files.select("tile_id").distinct().join(state, "tile_id", "left").select("tile_id", F.coalesce("open", F.lit(True)).alias("needed"))

@@ -112,3 +112,32 @@ def scrape(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFram
     """One row a report with the first group of each pattern."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), *[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).alias(c) for c, p in patterns.items()])
+
+
+def read_ecsv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+    """A table of commented header lines, one line of names and rows; the delimiter is a blank unless the header names a comma."""
+    comma = not spark.read.text(path).where(F.col("value").rlike(r"^#\s*delimiter:\s*['\"]?,")).isEmpty()
+    return spark.read.csv(path, sep="," if comma else " ", comment="#", header=True, inferSchema=infer, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+
+
+def read_ecsv_or(spark: SparkSession, path: str, other: DataFrame) -> DataFrame:
+    """The ECSV table, or `other` (the same table in another format) where the file isn't there."""
+    return read_ecsv(spark, path) if exists(spark, path) else other
+
+
+def row_counts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, n): lines without the header line of each text file; a file without lines has -1."""
+    lines = spark.read.text(paths if isinstance(paths, str) else [*paths]).select(F.col("_metadata.file_path").alias("file"))
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else [*paths]).select(F.col("path").alias("file"))
+    counted = lines.groupBy("file").agg(F.count("*").alias("n"))
+    return files.join(counted, "file", "left").select("file", (F.coalesce("n", F.lit(0)) - 1).alias("n"))
+
+
+def append_ledger(ledger: DataFrame, path: str) -> None:
+    """Rows that are added to a CSV ledger; what it holds stays as it is, and each append is one commit."""
+    ledger.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a whole, through the session's file systems."""
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())

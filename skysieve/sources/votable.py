@@ -42,3 +42,15 @@ def positions(found: DataFrame, decimal: tuple[str, str] = ("_raj2000", "_decj20
     dec = F.coalesce(F.col(decimal[1]).try_cast("double"), sexagesimal(sexa[1], False))
     placed = found.withColumn("ra", ra).withColumn("dec", dec)
     return placed.where(finite("ra", "dec") & F.col("ra").between(0, 360) & F.col("dec").between(-90, 90))
+
+
+def upload(positions: DataFrame, most_rows: int = 100_000, key: str = "row_id") -> str:
+    """VOTable text of one upload chunk: the id as up to 24 ASCII characters, ra and dec as doubles, in order of the id.
+
+    An upload is one document, so a chunk of more than `most_rows` rows is refused."""
+    found = positions.select(F.col(key).cast("string").alias("k"), F.col("ra").cast("double"), F.col("dec").cast("double")).orderBy("k").limit(most_rows + 1).collect()
+    if len(found) > most_rows:
+        raise ValueError(f"more than {most_rows} rows in one upload")
+    cells = "".join(f"<TR><TD>{r['k'].encode('ascii', 'replace').decode()[:24]}</TD><TD>{r['ra']!r}</TD><TD>{r['dec']!r}</TD></TR>\n" for r in found)
+    fields = f'<FIELD name="{key}" datatype="char" arraysize="24"/><FIELD name="ra" datatype="double" unit="deg"/><FIELD name="dec" datatype="double" unit="deg"/>'
+    return f'<?xml version="1.0"?>\n<VOTABLE version="1.3"><RESOURCE><TABLE>{fields}<DATA><TABLEDATA>\n{cells}</TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>\n'
