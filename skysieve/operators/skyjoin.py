@@ -42,15 +42,17 @@ def zoned(df: DataFrame, coords: tuple[str, str], radius_arcsec: float, copies:
     height = max(factor * radius, 1.0 / 3600.0)
     ra, dec = sanitize(*coords)
     df = df.where(finite(*coords))
-    zone_of = lambda d: F.floor((d + 90.0) / height).cast("long")
+    # keys that can't be null: else the planner infers null tests of them and works them out again in a filter
+    known = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
+    zone_of = lambda d: known(F.floor((d + 90.0) / height))
     if not copies:
         zone = df.withColumn(ZONE, zone_of(dec))
         n, _ = _zone_cells(F.col(ZONE), height, radius, factor)
-        return zone.withColumn(CELL, F.pmod(F.floor(ra * n / 360.0).cast("long"), n))
+        return zone.withColumn(CELL, known(F.pmod(F.floor(ra * n / 360.0).cast("long"), n)))
     pad = radius * (1 + 1e-9) + 1e-9
     zone = df.withColumn(ZONE, F.explode(F.array_distinct(F.array(zone_of(dec - pad), zone_of(dec), zone_of(dec + pad)))))
     n, reach = _zone_cells(F.col(ZONE), height, radius, factor)
-    return zone.withColumn(CELL, F.explode(F.array_distinct(F.array(*[F.pmod(F.floor((ra + k * reach) * n / 360.0).cast("long"), n) for k in (-1, 0, 1)]))))
+    return zone.withColumn(CELL, F.explode(F.array_distinct(F.array(*[known(F.pmod(F.floor((ra + k * reach) * n / 360.0).cast("long"), n)) for k in (-1, 0, 1)]))))
 
 
 def _bytes(df: DataFrame) -> int:
