@@ -359,6 +359,16 @@ def csv_with_bad_lines(spark, d):
     return tables.read_csv(spark, head, skip_bad=True).select(F.col("id").cast("long").alias("id"), F.col("k").cast("long").alias("k"))
 
 
+@query("SELECT concat('tile-RA=', s_nationkey) AS tile_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(s_suppkey) AS BIGINT) AS ids, CAST(1 AS BIGINT) AS images FROM supplier GROUP BY 1")
+def tiles_of_layouts(spark, d):
+    flat, sharded = scratch(spark, "tiles"), scratch(spark, "tiles")
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("tile-RA"))
+    for path in (flat, f"{sharded}/shard"):  # one file a tile, every tile in both layouts
+        rows.repartition("tile-RA").write.option("header", True).partitionBy("tile-RA").csv(path)
+    found = tables.read_tiles(spark, [f"{flat}/*/*.csv", f"{sharded}/*/*/*.csv"])
+    return found.groupBy("tile_id").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"), F.countDistinct("image_id").alias("images"))
+
+
 @query("SELECT region, sum(n) AS n, count(flag) AS flagged FROM (SELECT n_regionkey AS region, 1 AS n, NULL AS flag FROM nation UNION ALL SELECT r_regionkey, 1, 'x' FROM region) GROUP BY 1")
 def union_of_headers(spark, d):
     a = read(spark, d, "nation").selectExpr("n_regionkey AS region", "1 AS n")
