@@ -151,7 +151,7 @@ def shard_links(fps: np.ndarray, owned: np.ndarray, radius: int) -> list[tuple[i
 def _roots(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Roots of union-find nodes, which point at them from now on."""
     out = parent[nodes]
-    while (up := parent[out]).any() and (up != out).any():
+    while ((up := parent[out]) != out).any():
         out = up
     parent[nodes] = out
     return out

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import signal
 
 import numpy as np
 import pytest
@@ -82,6 +83,62 @@ def test_shards_see_every_pair(seed):
     assert len({find(i) for i in range(len(fps))}) == len(set(want))
 
 
+def forest_groups(n, forest):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in forest:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def limited(seconds):
+    """Raises in this thread after so many seconds."""
+
+    def stop(*_):
+        raise TimeoutError(f"over {seconds} s")
+
+    signal.signal(signal.SIGALRM, stop)
+    signal.alarm(seconds)
+
+
+def test_chains_with_the_first_row_end():
+    """Union-find ends, and groups are right, where chains of near copies hold row 0."""
+    rng = np.random.default_rng(0)
+    cases = [np.array([0x100000000AA, 0x10000000011, 0x10000000082, 0x10000000003, 0x10000000000, 0x10000000042], np.uint64)]
+    for _ in range(1_000):
+        walk = [int(rng.integers(0, 1 << 63))]
+        for _ in range(int(rng.integers(2, 14))):
+            bits = rng.integers(0, 10, 2)
+            walk.append(walk[int(rng.integers(0, len(walk)))] ^ 1 << int(bits[0]) ^ 1 << int(bits[1]))
+        cases.append(rng.permutation(np.unique(np.array(walk, np.uint64))))
+    limited(120)
+    try:
+        for fps in cases:
+            owned = rng.random(len(fps)) < 0.8
+            owned[rng.integers(0, len(fps))] = True
+            whole = forest_groups(len(fps), simhash.shard_links(fps, np.ones(len(fps), bool), 2))
+            assert whole == brute_components(fps.tolist(), list(range(len(fps))), 2)
+            forest = simhash.shard_links(fps, owned, 2)
+            links = [(i, j) for i in np.nonzero(owned)[0].tolist() for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2]
+            assert forest_groups(len(fps), forest) == forest_groups(len(fps), links)
+    finally:
+        signal.alarm(0)
+
+
+def test_chained_fingerprints_on_tables(spark):
+    chain = [0x100000000AA, 0x10000000011, 0x10000000082, 0x10000000003, 0x10000000000, 0x10000000042]
+    rows = chain + [x ^ 0x7FFF << 40 for x in chain]
+    links = simhash.near_links(spark.createDataFrame([(x,) for x in rows], "fp long"), 2)
+    found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    want = brute_components(rows, rows, 2)
+    assert [found.get(x, x) for x in rows] == want
+
+
 def test_near_duplicates(spark, documents, odd_rows):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(300)]
