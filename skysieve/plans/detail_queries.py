@@ -402,12 +402,25 @@ def pruned_leaves(spark, d):
     return leaves.groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lpad(CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 200 + 1 AS STRING), 5, '0') AS chunk, c_custkey AS id FROM customer")
+@query("SELECT lpad(CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS STRING), 5, '0') AS chunk, o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def numbered_chunks(spark, d):
     path = scratch(spark, "chunks")
-    tables.write_chunks(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), path, "id", 200, width=5)
-    back = spark.read.option("header", True).schema("id long, chunk string").option("recursiveFileLookup", "true").csv(path)
-    return back.select("id", F.regexp_extract(F.col("_metadata.file_path"), "chunk=([0-9]+)", 1).alias("chunk"))
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    tables.write_chunks(rows, path, "id", 1_000, width=5)
+    back = spark.read.option("header", True).schema(rows.schema).option("recursiveFileLookup", "true").csv(path)
+    return back.select("*", F.regexp_extract(F.col("_metadata.file_path"), "chunk=([0-9]+)", 1).alias("chunk"))
+
+
+@query("SELECT 'full' AS part, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer UNION ALL SELECT concat('chunk-', CAST(k AS STRING)), count(*), CAST(sum(c_custkey) AS BIGINT) FROM (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 400 + 1 AS k FROM customer) WHERE (SELECT count(*) FROM customer) > 400 GROUP BY k UNION ALL SELECT 'small', count(*), CAST(sum(n_nationkey) AS BIGINT) FROM nation")
+def full_and_chunks(spark, d):
+    path, small = scratch(spark, "full"), scratch(spark, "full")
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
+    tables.write_full_and_chunks(rows, path, "id", 400)
+    tables.write_full_and_chunks(read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), "n_name"), small, "id", 400)
+    back = spark.read.option("header", True).schema("id long").option("recursiveFileLookup", "true").csv([path, small])
+    file = F.col("_metadata.file_path")
+    part = F.when(file.contains("/full/"), F.when(file.contains(small.rsplit("/", 1)[1]), "small").otherwise("full")).otherwise(F.concat(F.lit("chunk-"), F.regexp_extract(file, "chunk=([0-9]+)", 1).cast("long").cast("string")))
+    return back.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query("SELECT s_suppkey AS id, s_acctbal AS balance, CASE WHEN s_nationkey < 10 THEN s_nationkey END AS nation FROM supplier")

@@ -102,9 +102,13 @@ def extract_delta(spark: SparkSession, path: str, manifest_path: str, out: str,
     rows = spark.read.parquet(*changed)
     ra, dec = resolve(rows.columns, "remainder")
     positions = rows.select(stable_row_id("tile_id", "NUMBER").alias("row_id"), F.col(ra).cast("double").alias("ra"), F.col(dec).cast("double").alias("dec")).where(sky.finite("ra", "dec")).dropDuplicates(["row_id"])
-    written = write_chunks(positions, out, "row_id", chunk_size, width=5)
     from skysieve.session import cut
 
+    positions = cut(positions)
+    expected, written = positions.count(), write_chunks(positions, out, "row_id", chunk_size, width=5)
+    stored = rows.sparkSession.read.option("header", True).option("recursiveFileLookup", "true").schema("row_id string").csv(out).count()
+    if not expected == written == stored:
+        raise PublishError(f"{expected} positions, {written} numbered, {stored} in files: the manifest stays as it was")
     cut(files).write.mode("overwrite").parquet(manifest_path)
     return {"changed": len(changed), "rows": written}
 

@@ -66,12 +66,22 @@ def read_leaves(spark: SparkSession, paths: Sequence[str], columns: Sequence[str
 
 
 def numbered(df: DataFrame, order: str, size: int, start: int = 1) -> DataFrame:
-    """`df` with chunk, its number by rows in order: global positions from counts of range partitions, no single task."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    before = ranged.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.join(F.broadcast(before.select("__part", "__before")), "__part")
-    return placed.withColumn("chunk", (F.floor((F.col("__before") + F.col("__in") - 1) / size) + start).cast("int")).drop("__part", "__in", "__before")
+    """`df` with chunk, its number by rows in order: places within stored range partitions, and their counts.
+
+    The partitions are stored once, each row with its partition and its place there, so counts and rows can't differ
+    whatever adaptive execution merges; rows without a count raise. Ties of `order` are split by a hash of the row.
+    """
+    from skysieve.session import cut
+
+    spread = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
+    ranged = df.repartitionByRange(F.col(order), spread).withColumn("__spread", spread).sortWithinPartitions(order, "__spread").drop("__spread")
+    stored = cut(ranged.withColumn("__at", F.monotonically_increasing_id()))  # partition << 33 | place within it
+    part = F.shiftright("__at", 33)
+    counts = stored.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    placed = stored.withColumn("__part", part).join(F.broadcast(before), "__part", "left")  # one row a partition
+    place = F.coalesce("__before", F.raise_error(F.lit("a range partition has no count")).cast("long")) + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("chunk", (F.floor(place / size) + start).cast("int")).drop("__part", "__at", "__before")
 
 
 def write_chunks(df: DataFrame, path: str, order: str, size: int, width: int = 7, start: int = 1, header: bool = True) -> int:
@@ -83,6 +93,24 @@ def write_chunks(df: DataFrame, path: str, order: str, size: int, width: int = 7
     return rows.count()
 
 
+def write_full_and_chunks(df: DataFrame, path: str, order: str, size: int, width: int = 7) -> tuple[int, int]:
+    """The whole table as CSV below path/full and, only where it has over `size` rows, chunks from 1 below path/chunks.
+
+    Returns (rows, chunks).
+    """
+    from skysieve.session import cut
+
+    rows = cut(df)
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/full")
+    n = rows.count()
+    if n <= size:
+        return n, 0
+    written = write_chunks(rows, f"{path}/chunks", order, size, width)
+    if written != n:
+        raise ValueError(f"{written} of {n} rows in chunks")
+    return n, -(-n // size)
+
+
 def without_arrays(df: DataFrame) -> DataFrame:
     """Columns that a text table can hold."""
     return df.select(*[f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")])

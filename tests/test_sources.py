@@ -41,6 +41,35 @@ def test_chunks(spark, tmp_path):
     assert got == {"chunk=00001": 500, "chunk=00002": 500, "chunk=00003": 50}
 
 
+@pytest.mark.parametrize("advisory", ["1k", "64m"])
+def test_numbered_keeps_wide_rows(spark, monkeypatch, advisory):
+    """Partitions of wide and of narrow rows are merged differently; each row still gets its place."""
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        df = spark.range(60_000).select("id", F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2(F.lit("x"), 256)).alias("wide"))
+        got = tables.numbered(df, "id", 1_000)
+        assert got.count() == 60_000
+        assert got.where("chunk <> id DIV 1000 + 1").isEmpty()
+        hot = tables.numbered(df.withColumn("k", F.lit(1)), "k", 1_000).groupBy("chunk").count()
+        assert hot.count() == 60 and hot.where("count <> 1000").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_full_file_and_chunks_only_above_the_size(spark, tmp_path):
+    df = spark.range(1_000).withColumnRenamed("id", "k")
+    assert tables.write_full_and_chunks(df, str(tmp_path / "a"), "k", 1_000) == (1_000, 0)
+    assert not (tmp_path / "a" / "chunks").exists()
+    assert tables.write_full_and_chunks(df, str(tmp_path / "b"), "k", 300) == (1_000, 4)
+    full = spark.read.option("header", True).csv(str(tmp_path / "b" / "full"))
+    assert full.count() == 1_000 and sorted(p.name for p in (tmp_path / "b" / "chunks").glob("chunk=*")) == [f"chunk={k:07d}" for k in range(1, 5)]
+    assert tables.write_full_and_chunks(df.limit(0), str(tmp_path / "c"), "k", 300) == (0, 0)
+
+
 def test_plate_scan(spark, tmp_path):
     spark.dataSource.register(maps.PlateScanSource)
     words = np.arange(39 * 8, dtype="i4").reshape(8, 39)
