@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.llm import language, lines, mixing, simhash, templates, tokencount, topk, toxicity, urls, warc
+from skysieve.llm import language, lines, mixing, simhash, substrings, templates, tokencount, topk, toxicity, urls, warc
 from skysieve.llm.common import table
 
 
@@ -29,8 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": mixing.op8,
         "op9_simhash": op9,
         "op10_language": language.op10,
+        "op11_substring_dedup": substrings.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_line_dedup": lines.ORACLE, "op7_url_filter": urls.ORACLE}
+    return {"op4_warc_archive": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_line_dedup": lines.ORACLE, "op7_url_filter": urls.ORACLE, "op11_substring_dedup": substrings.ORACLE}
