@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.llm import language, lines, mixing, simhash, substrings, templates, tokencount, topk, toxicity, urls, warc
+from skysieve.llm import clusters, infill, language, lines, mixing, simhash, substrings, templates, tokencount, topk, toxicity, urls, warc
 from skysieve.llm.common import table
 
 
@@ -30,8 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash": op9,
         "op10_language": language.op10,
         "op11_substring_dedup": substrings.op11,
+        "op12_fill_in_middle": infill.op12,
+        "op13_centroids": clusters.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_archive": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_line_dedup": lines.ORACLE, "op7_url_filter": urls.ORACLE, "op11_substring_dedup": substrings.ORACLE}
+    return {"op4_warc_archive": warc.ORACLE, "op5_exact_top_k": topk.ORACLE, "op6_line_dedup": lines.ORACLE, "op7_url_filter": urls.ORACLE, "op11_substring_dedup": substrings.ORACLE, "op12_fill_in_middle": infill.ORACLE, "op13_centroids": clusters.ORACLE}
