@@ -22,6 +22,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from skysieve.llm.common import table
 
@@ -67,8 +68,7 @@ FROM back ORDER BY i
 def infilled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: int = RATE, spm: int = SPM, output: bool = True) -> DataFrame:
     """Columns `row` (all of docs) and `fim`, a struct of FIELDS; without `output` the new texts stay in the tasks."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    kind, sql = rows.schema["row"].dataType.simpleString(), statement(seed, rate, spm)
-    schema = f"row {kind}, fim struct<{FIELDS.replace(' long', ':bigint').replace(' string', ':string').replace(', ', ',')}>"
+    sql, schema = statement(seed, rate, spm), StructType([rows.schema["row"], StructField("fim", DataType.fromDDL(FIELDS))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with duckdb.connect(config={"threads": 1, "temp_directory": ""}) as con:

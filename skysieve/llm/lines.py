@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from skysieve.llm.bloom import bits_for, seen, twice_seen
 from skysieve.llm.common import BROADCAST_ROWS, salted_lookup, stored, table
@@ -88,8 +89,7 @@ def strip_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", le
     """
     few = frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, stripped struct<n_lines:bigint,n_dropped:bigint,text:string>"
+    schema = StructType([rows.schema["row"], StructField("stripped", DataType.fromDDL("n_lines long, n_dropped long, text string"))])
     if few:
         banned = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in frequent.select("digest").collect()))
         rows = rows.withColumn("digests", F.lit(None).cast("array<binary>"))

@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from skysieve.llm.common import release, salted_lookup, stored, table
 
@@ -258,7 +259,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("ord"), F.hash(text).alias("tag"), text.cast("binary").alias("text"))
     spans = repeats(rows.select("ord", "tag", "text"), width)
-    kind = rows.schema["row"].dataType.simpleString()
+    schema = StructType([rows.schema["row"], StructField("kept", DataType.fromDDL("n_words long, n_removed long, text string"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +268,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), kept], ["row", "kept"])
 
     met = rows.join(spans.hint("merge"), ["ord", "tag"], "left").select("row", "text", "spans")
-    return met.mapInArrow(run, f"row {kind}, kept struct<n_words:bigint,n_removed:bigint,text:string>")
+    return met.mapInArrow(run, schema)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
