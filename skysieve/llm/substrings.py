@@ -12,7 +12,7 @@ Plan: (1) one map-side-combined aggregate finds the keys that two documents shar
 all their pieces are alike; pieces of other keys have no partner and stop here. (2) Pieces meet those keys in a salted
 join. Where all pieces of a key are alike, the whole piece of every later document is one factor. (3) The other pieces
 fetch their words, equal ones collapse to one row with the smallest id, and a block, which is a bounded share of the keys,
-is indexed by windows and parsed greedily: from each place the longest factor of an earlier document is taken, and the
+is indexed by windows and parsed greedily: from each place the longest factor of an earlier document (of its SOURCES earliest ones) is taken, and the
 next place is the first window that reaches over the factor's end, so windows across factor boundaries are checked too.
 Factors of `width` words or more become spans; later documents of an equal piece take it whole. A key with over MOST
 pieces has no block of its own size: its windows are dealt by all their words instead. (4) Spans meet the documents, and
@@ -42,6 +42,9 @@ from skysieve.llm.common import release, salted_lookup, stored, table
 WIDTH, GRAM = 13, 5
 #: Distinct pieces of a block, about; pieces that a key may have before its windows are dealt apart; words that a worker remembers.
 BLOCK, MOST, WORDS = 20_000, 100_000, 500_000
+#: Earliest sources that a factor is followed along. A factor that another source would carry on ends sooner; the windows over
+#: its end are looked up anyway, so no word is lost.
+SOURCES = 16
 _LAST = (1 << 63) - 1
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -162,8 +165,8 @@ class Reference:
                 i += 1
                 continue
             g = self.group[i]
-            rivals = slice(self.from_[g], self.from_[g] + np.searchsorted(self.owner_at[self.from_[g] : self.to[g]], mine))
-            places, length = self.places[rivals], self.width
+            few = slice(self.from_[g], min(self.to[g], self.from_[g] + SOURCES))  # in order of ids
+            places, length = self.places[few][self.owner_at[few] < mine], self.width
             while i + length < end:
                 inside = places[places + length < self.end_at[places]]
                 longer = inside[self.words[inside + length] == self.words[i + length]]
