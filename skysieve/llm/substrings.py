@@ -18,7 +18,7 @@ Factors of `width` words or more become spans; later documents of an equal piece
 pieces has no block of its own size: its windows are dealt by all their words instead. (4) Spans meet the documents, and
 the words that are left are joined by one space.
 
-Words count as equal when their 64-bit XXH64 are, and pieces when key and signature, 128 bits in all, are.
+Words count as equal when their 64-bit codes are, and pieces when key and signature, 128 bits in all, are.
 
 Defined cases: a null or empty text has no words and becomes empty; ids are long integers; a null id comes after all ids, so such
 a row loses what documents with ids hold, and nothing is removed for its sake; rows that repeat an id don't remove each
@@ -40,31 +40,52 @@ from pyspark.sql.types import DataType, StructField, StructType
 from skysieve.llm.common import release, salted_lookup, stored, table
 
 WIDTH, GRAM = 13, 5
-#: Distinct pieces of a block, about; pieces that a key may have before its windows are dealt apart; words that a worker remembers.
-BLOCK, MOST, WORDS = 20_000, 100_000, 500_000
+#: Distinct pieces of a block, about; pieces that a key may have before its windows are dealt apart; bytes of a word that is coded byte by byte.
+BLOCK, MOST, LONG = 20_000, 100_000, 128
 #: Earliest sources that a factor is followed along. A factor that another source would carry on ends sooner; the windows over
 #: its end are looked up anyway, so no word is lost.
 SOURCES = 16
 _LAST = (1 << 63) - 1
-_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-class _Codes(dict):
-    """64-bit codes of words; forgets all when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return code
+_BASE, _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x2545F4914F6CDD1B)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []  # bytes.split cuts at exactly \x20 and \x09-\x0D
 
 
-def codes_of(words: list[bytes], known: _Codes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: 64 random bits for every byte.
+_BYTES = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([b]), 11) for b in range(256)), ">u8").astype(np.uint64)
+
+
+def codes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts): 64-bit codes of all words of a binary column, row after row, and the words of each row.
+
+    A code is a polynomial of the word's random byte values, all words a byte at a time; words over LONG bytes take XXH64.
+    """
+    column = column.fill_null(b"") if column.null_count else column
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(column) or offsets[-1] == offsets[0]:
+        return np.empty(0, np.uint64), np.zeros(len(column), np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~_SPACE[data]
+    starts, ends = inside.copy(), inside.copy()
+    edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # rows begin here
+    starts[1:] &= ~inside[:-1]
+    starts[edge] = inside[edge]
+    ends[:-1] &= ~inside[1:]
+    ends[edge - 1] = inside[edge - 1]
+    starts, ends = np.nonzero(starts)[0], np.nonzero(ends)[0] + 1
+    lengths, out = ends - starts, (ends - starts).astype(np.uint64)
+    live = np.arange(len(starts))
+    for k in range(int(min(LONG, lengths.max(initial=0)))):
+        live = live[lengths[live] > k]
+        out[live] = out[live] * _STEP + _BYTES[data[starts[live] + k]]
+    for k in np.nonzero(lengths > LONG)[0].tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), 11)
+    return _mixed(out), np.bincount(np.searchsorted(offsets[1:], starts, side="right"), minlength=len(column))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -87,9 +108,7 @@ def grams(codes: np.ndarray, size: int) -> np.ndarray:
 class Pieces:
     """The pieces of a batch of documents: document, first word, number of windows, key and signature of each."""
 
-    def __init__(self, documents: list[np.ndarray], width: int) -> None:
-        lengths = np.array([len(x) for x in documents], np.int64)
-        codes = np.concatenate(documents) if documents else np.empty(0, np.uint64)
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, width: int) -> None:
         ends = np.cumsum(lengths)
         self.codes, self.offsets = codes, ends - lengths
         whole = grams(codes, width)
@@ -107,18 +126,20 @@ class Pieces:
         self.start = at[begin] - self.offsets[self.doc] if len(begin) else np.empty(0, np.int64)
         self.sig = np.add.reduceat(_mixed(whole[at] ^ _MIX), begin).view(np.int64) if len(begin) else np.empty(0, np.int64)
 
-    def words(self, piece: int, width: int) -> np.ndarray:
-        a = self.offsets[self.doc[piece]] + self.start[piece]
-        return self.codes[a : a + self.n[piece] + width - 1]
+    def words(self, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+        """Binary array of the codes of each run of words (places in the batch)."""
+        ends = np.cumsum(length)
+        at = np.repeat(begin - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        offsets = np.concatenate(([0], ends)).astype(np.int64) * 8
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.codes[at].tobytes())])
 
 
 def pieces(docs: DataFrame, width: int) -> DataFrame:
     """(key, sig, ord, tag, start, n) of every piece of `docs` (ord, tag, text binary)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Codes()
         for batch in batches:
-            found = Pieces([codes_of(words_of(x.as_py()), known) for x in batch.column(2)], width)
+            found = Pieces(*codes_of(batch.column(2)), width)
             ords, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found.key), pa.array(found.sig), pa.array(ords[found.doc], pa.int64()), pa.array(tags[found.doc], pa.int32()), pa.array(found.start, pa.int32()), pa.array(found.n, pa.int32())],
@@ -194,25 +215,25 @@ def _words(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     where `apart` is set, each window of the piece is a piece of its own, under a key of all its words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Codes()
         for batch in batches:
-            ords, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = Pieces([codes_of(words_of(x.as_py()), known) for x in batch.column(2)], width)
-            asked = [{p["start"]: p["apart"] for p in x.as_py()} for x in batch.column(3)]
-            out: list[tuple] = []
-            for k, (d, s) in enumerate(zip(found.doc.tolist(), found.start.tolist(), strict=True)):
-                apart = asked[d].get(s)
-                if apart is None:
-                    continue
-                codes = found.words(k, width)
-                if apart:
-                    for w, (key, sig) in enumerate(zip(grams(codes, width).view(np.int64).tolist(), _mixed(grams(codes, width) ^ _MIX).view(np.int64).tolist(), strict=True)):
-                        out.append((key, sig, ords[d], tags[d], s + w, codes[w : w + width].tobytes()))
-                else:
-                    out.append((int(found.key[k]), int(found.sig[k]), ords[d], tags[d], s, codes.tobytes()))
-            columns = [*zip(*out, strict=True)] or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["key", "sig", "ord", "tag", "start", "codes"])
+            found = Pieces(*codes_of(batch.column(2)), width)
+            ords, tags, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy())
+            starts, apart = asked.flatten().field("start").to_numpy(), asked.flatten().field("apart").to_numpy(zero_copy_only=False)
+            place = found.offsets[found.doc] + found.start  # ascends, as the places of the batch do
+            piece = np.searchsorted(place, found.offsets[row] + starts)
+            for chosen, alone in ((piece[~apart], False), (piece[apart], True)):
+                begin, n, key, sig, doc = place[chosen], found.n[chosen], found.key[chosen], found.sig[chosen], found.doc[chosen]
+                if alone:  # every window is a piece, under a key of all its words
+                    doc = np.repeat(doc, n)
+                    begin = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    whole = grams(found.codes, width)
+                    key = (whole[begin] if len(begin) else np.empty(0, np.uint64)).view(np.int64)
+                    sig, n = _mixed(key.view(np.uint64) ^ _MIX).view(np.int64), np.ones(len(begin), np.int64)
+                for a in range(0, len(begin), 50_000):
+                    part = slice(a, a + 50_000)
+                    columns = [pa.array(key[part]), pa.array(sig[part]), pa.array(ords[doc[part]]), pa.array(tags[doc[part]]), pa.array((begin[part] - found.offsets[doc[part]]).astype(np.int32)), found.words(begin[part], n[part] + width - 1).cast(pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "ord", "tag", "start", "codes"])
 
     met = docs.join(wanted.hint("merge"), ["ord", "tag"]).select("ord", "tag", "text", "starts")
     return met.mapInArrow(run, "key long, sig long, ord long, tag int, start int, codes binary")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,15 @@ def test_clashing_columns_and_an_empty_table(spark):
     assert got.columns == docs.columns
     assert {tuple(r) for r in got.collect()} == {(1, text, "k", 5, 1, "s", 2), (2, "", "k", 6, 1, "s", 2)}
     assert substrings.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_codes_of_words():
+    """Equal words have equal codes wherever they stand, and others other ones; rows bound words."""
+    texts = [b"ab cd\tab", None, b"", b" \n ", b"ab", b"cd ab\x0b", "é ü\x1cx é".encode(), b"x" * 300 + b" " + b"x" * 301, b"aab", b"baa", b"ab"]
+    for column in (pa.array(texts, pa.binary()), pa.array([b"zz z", *texts], pa.large_binary())[1:]):
+        codes, counts = substrings.codes_of(column)
+        words = [substrings.words_of(t) for t in texts]
+        assert counts.tolist() == [len(w) for w in words]
+        flat = [w for row in words for w in row]
+        assert len(set(codes.tolist())) == len(set(flat)) == len({(w, c) for w, c in zip(flat, codes.tolist())})
+    assert substrings.codes_of(pa.array([], pa.binary()))[0].size == 0
