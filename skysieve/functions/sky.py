@@ -256,6 +256,61 @@ def b1950_to_icrs(ra, dec) -> tuple[Column, Column]:
     return wrap360(F.degrees(F.atan2(y, x))), F.degrees(F.atan2(z, F.hypot(x, y)))
 
 
+def interleave(x: Column, y: Column) -> Column:
+    """Bits of x at even places and of y at odd ones: binary digits read in base four. Each side is named once, so plans stay small."""
+    spread = lambda v: F.conv(F.bin(v.cast("long")), 4, 10).cast("long")
+    return spread(x) + 2 * spread(y)
+
+
+def every_second_bit(bits: Column) -> Column:
+    """The bits at even places, side by side."""
+    even = bits.cast("long").bitwiseAND(0x5555555555555555)
+    return F.conv(F.conv(even.cast("string"), 10, 4), 2, 10).cast("long")
+
+
+def healpix_face(ra, dec, order: int) -> tuple[Column, Column, Column]:
+    """(face, x, y): base face and real coordinates within it, 0 to 2^order each, x to the north-east and y to the north-west."""
+    n = 1 << order
+    z, tt = F.sin(F.radians(col(dec))), wrap360(ra) / 90.0
+    za = F.abs(z)
+    rise, fall = n * (0.5 + tt) - n * z * 0.75, n * (0.5 + tt) + n * z * 0.75
+    ifp, ifm = F.floor(F.floor(rise) / n), F.floor(F.floor(fall) / n)
+    face_eq = F.when(ifp == ifm, F.pmod(ifp, F.lit(4)) + 4).when(ifp < ifm, F.pmod(ifp, F.lit(4))).otherwise(F.pmod(ifm, F.lit(4)) + 8)
+    ntt = F.least(F.lit(3), F.floor(tt))
+    tp, tmp = tt - ntt, n * F.sqrt(F.greatest(F.lit(0.0), 3.0 * (1.0 - za)))
+    polar, north = za > 2.0 / 3.0, z >= 0
+    face = F.when(~polar, face_eq).when(north, ntt).otherwise(ntt + 8).cast("long")
+    x = F.when(~polar, F.pmod(fall, F.lit(float(n)))).when(north, n - (1.0 - tp) * tmp).otherwise(tp * tmp)
+    y = F.when(~polar, n - F.pmod(rise, F.lit(float(n)))).when(north, n - tp * tmp).otherwise((1.0 - tp) * tmp)
+    inside = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(float(n)), v))
+    return face, inside(x), inside(y)
+
+
+def healpix_centre(pixel: Column, order: int) -> tuple[Column, Column]:
+    """(RA, Dec) of a nested pixel's centre."""
+    n = 1 << order
+    face, inner = F.shiftright(pixel, 2 * order), pixel.bitwiseAND((1 << (2 * order)) - 1)
+    x, y = every_second_bit(inner), every_second_bit(F.shiftright(inner, 1))
+    ring, lane = F.floor(face / 4), F.pmod(face, F.lit(4))
+    down = (ring + 2) * n - x - y - 1  # rows of centres from the north pole, 1 to 4 n - 1
+    across = 2 * lane + F.when(ring == 1, 0).otherwise(1)
+    wide = F.when(down < n, down).when(down > 3 * n, 4 * n - down).otherwise(F.lit(n))
+    z = F.when(down < n, 1.0 - down * down / (3.0 * n * n)).when(down > 3 * n, (4 * n - down) * (4 * n - down) / (3.0 * n * n) - 1.0).otherwise((2 * n - down) * 2.0 / (3.0 * n))
+    # by the pole distance, which the arc sine of z would lose near the poles
+    colatitude = F.degrees(2.0 * F.asin(wide / (math.sqrt(6.0) * n)))
+    dec = F.when(down < n, 90.0 - colatitude).when(down > 3 * n, colatitude - 90.0).otherwise(F.degrees(F.asin(z)))
+    return wrap360((across * wide + x - y) * 45.0 / wide), dec
+
+
+def healpix_reach(order: int) -> float:
+    """Degrees from a pixel's centre to its farthest point, at most: that of the pixels at the edge of the polar caps."""
+    n = 1 << order
+    z, top = 2.0 / 3.0, 1.0 - (1.0 - 1.0 / n) ** 2 / 3.0
+    step = math.pi / (4.0 * n)
+    a, b = (math.sqrt(1 - z * z) * math.cos(step), math.sqrt(1 - z * z) * math.sin(step), z), (math.sqrt(1 - top * top), 0.0, top)
+    return math.degrees(2.0 * math.asin(min(1.0, math.dist(a, b) / 2.0))) * (1 + 1e-9) + 1e-9
+
+
 def healpix_nested(ra, dec, order: int = 5) -> Column:
     """Nested HEALPix pixel: face and in-face (x, y) by the cylindrical equal-area formulas, bits interleaved."""
     n = 1 << order
@@ -273,7 +328,4 @@ def healpix_nested(ra, dec, order: int = 5) -> Column:
     face = F.when(~polar, face_eq).when(north, ntt).otherwise(ntt + 8).cast("long")
     x = F.when(~polar, x_eq).when(north, F.lit(n - 1) - b).otherwise(a).cast("long")
     y = F.when(~polar, y_eq).when(north, F.lit(n - 1) - a).otherwise(b).cast("long")
-    inner = F.lit(0).cast("long")
-    for k in range(order):
-        inner = inner + F.shiftleft(F.shiftright(x, k).bitwiseAND(1), 2 * k) + F.shiftleft(F.shiftright(y, k).bitwiseAND(1), 2 * k + 1)
-    return face * (n * n) + inner
+    return face * (n * n) + interleave(x, y)

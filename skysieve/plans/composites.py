@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysieve.functions import sky
-from skysieve.operators import dedup, filters, fit, flags, skyjoin, spikes
+from skysieve.operators import dedup, filters, fit, flags, pixels, skyjoin, spikes
 from skysieve.plans import stages
 
 
@@ -56,6 +56,11 @@ def infrared_sidecar(seeds: DataFrame, frames: DataFrame, radius: float = 5.0, k
     return skyjoin.match_best(seeds, right, radius, key, "cntr", right_coords=("ra_f", "dec_f"))
 
 
+def infrared_by_pixel(seeds: DataFrame, frames: pixels.PixelCatalogue, radius: float = 5.0, key: str = "opt_source_id") -> DataFrame:
+    """The same from frames that are stored by pixel, whose cntr is unique: the frames don't move, and the gates reach their scan."""
+    return pixels.pixel_nearest(seeds, frames, radius, key, "cntr", gate=filters.neowise_gate)
+
+
 def masked_view(master: DataFrame, sidecars: Mapping[str, tuple[DataFrame, str | Sequence[str]]], expression: str, tokens: Mapping[str, str], path: str | None = None, tol_arcsec: float = 0.5, keys: Sequence[str] = ("tile_id", "NUMBER")) -> DataFrame:
     """Survivors of a mask with all their columns: narrow keys first, then the wide rows by a semi-join, by bins."""
     narrow = dedup.grid_first(master.select(*keys, "ra", "dec"), tol_arcsec, [F.col(k) for k in keys])

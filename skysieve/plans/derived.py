@@ -54,6 +54,21 @@ FRAMES = (
     "value",
 )
 
+#: Single exposures of a survey, one a row of lineitem; every gate drops some.
+SHOTS = (
+    "l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS cntr",
+    DETECTIONS[4],
+    DETECTIONS[5],
+    "CAST(l_linenumber % 4 AS BIGINT) AS qual_frame",
+    "(l_partkey % 11) / 10.0E0 AS qi_fact",
+    "CAST((l_suppkey % 13) - 2 AS DOUBLE) AS saa_sep",
+    f"CASE WHEN l_partkey % 97 = 0 THEN {NAN} ELSE l_quantity END AS w1snr",
+    "59000.0E0 + (l_partkey % 250) AS mjd",
+    "CASE WHEN l_suppkey % 5 = 0 THEN '00' WHEN l_suppkey % 5 = 1 THEN '0' WHEN l_suppkey % 5 = 2 THEN '11' WHEN l_suppkey % 5 = 3 THEN '01' ELSE '0 0' END AS moon_masked",
+)
+#: The gates of an exposure, as SQL.
+GOOD_SHOT = "qual_frame > 0 AND qi_fact > 0 AND saa_sep > 0 AND NOT isnan(w1snr) AND w1snr >= 5 AND mjd <= 59198 AND moon_masked IN ('00', '0', '0 0')"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,13 +82,17 @@ def catalogue(spark: SparkSession, sf_dir: str, role: str = "any") -> DataFrame:
     return read(spark, sf_dir, "orders").where(ROLES[role]).selectExpr(*CATALOGUE)
 
 
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").selectExpr(*SHOTS)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").selectExpr(*FRAMES)
 
 
 def cte(*names: str) -> str:
     """WITH clause of the tables by name: det, gaia, ps1, usno, any, frames."""
-    source = {"det": f"SELECT {', '.join(DETECTIONS)} FROM lineitem", "frames": f"SELECT {', '.join(FRAMES)} FROM events"}
+    source = {"det": f"SELECT {', '.join(DETECTIONS)} FROM lineitem", "frames": f"SELECT {', '.join(FRAMES)} FROM events", "shots": f"SELECT {', '.join(SHOTS)} FROM lineitem"}
     source |= {r: f"SELECT {', '.join(CATALOGUE)} FROM orders WHERE {w}" for r, w in ROLES.items()}
     return "WITH " + ", ".join(f"{'any_' if n == 'any' else n} AS ({source[n]})" for n in names)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysieve.functions import sky, text
-from skysieve.operators import dedup, filters, flags, lookups, plates, skyjoin, spikes
+from skysieve.operators import dedup, filters, flags, lookups, pixels, plates, skyjoin, spikes
 from skysieve.plans import composites, master, qc, stages
-from skysieve.plans.derived import catalogue, cte, detections, frames, pair_cte, read, sep
+from skysieve.plans.derived import GOOD_SHOT, catalogue, cte, detections, frames, pair_cte, read, sep, shots
 from skysieve.session import cut, scratch
 from skysieve.sources import tables, votable
 
@@ -497,13 +497,22 @@ def late_filter_survivors(spark, d):
     return composites.late_filters(detections(spark, d), stars)[0].select("src_id")
 
 
-@query(cte("gaia") + ", s AS (SELECT cat_id AS opt_source_id, ra, dec FROM gaia WHERE cat_id % 2 = 0), f AS (SELECT cat_id * 10 + k AS cntr, cat_id, ra + k / 7200.0E0 AS ra, dec, 9.0E0 AS w1snr FROM gaia, (SELECT unnest([0, 1, 2]) AS k) WHERE cat_id % 5 = 0) SELECT opt_source_id, min(cntr) AS cntr FROM s JOIN f ON f.cat_id = s.opt_source_id GROUP BY 1")
+_GOOD = cte("gaia", "shots") + f", s AS (SELECT cat_id AS opt_source_id, ra, dec FROM gaia WHERE cat_id % 2 = 0), f AS (SELECT cntr, ra, dec FROM shots WHERE {GOOD_SHOT}), p AS ({pair_cte('s', 'f', 5.0, 'a.opt_source_id, b.cntr')})"
+
+
+@query(_GOOD + " SELECT opt_source_id, arg_min(cntr, (s, cntr)) AS cntr, round(min(s), 6) AS sep FROM p GROUP BY 1")
 def infrared_partners(spark, d):
-    gaia = catalogue(spark, d, "gaia")
-    seeds = gaia.where("cat_id % 2 = 0").selectExpr("cat_id AS opt_source_id", "ra", "dec")
-    rows = gaia.where("cat_id % 5 = 0").selectExpr("cat_id", "ra", "dec", "explode(array(0, 1, 2)) AS k")
-    shots = rows.selectExpr("cat_id * 10 + k AS cntr", "ra + k / 7200.0E0 AS ra", "dec", "1 AS qual_frame", "1.0D AS qi_fact", "1.0D AS saa_sep", "9.0D AS w1snr", "59000.0D AS mjd", "'0' AS moon_masked")
-    return composites.infrared_sidecar(seeds, shots.unionByName(shots)).select("opt_source_id", "cntr")
+    seeds = catalogue(spark, d, "gaia").where("cat_id % 2 = 0").selectExpr("cat_id AS opt_source_id", "ra", "dec")
+    found = composites.infrared_sidecar(seeds, shots(spark, d).unionByName(shots(spark, d)))
+    return found.select("opt_source_id", "cntr", F.round("sep_arcsec", 6).alias("sep"))
+
+
+@query(_GOOD + " SELECT opt_source_id, arg_min(cntr, (s, cntr)) AS cntr, round(min(s), 6) AS sep FROM p GROUP BY 1")
+def infrared_by_pixel(spark, d):
+    """Exposures stored by pixel, then a join that leaves them in their buckets."""
+    seeds = catalogue(spark, d, "gaia").where("cat_id % 2 = 0").selectExpr("cat_id AS opt_source_id", "ra", "dec")
+    stored = pixels.write_catalogue(shots(spark, d), scratch(spark, "pixels"), order=8, buckets=8)
+    return composites.infrared_by_pixel(seeds, stored).select("opt_source_id", "cntr", F.round("sep_arcsec", 6).alias("sep"))
 
 
 @query(cte("det", "gaia") + f", p AS ({pair_cte('det', 'gaia', 5.0)}), o AS (SELECT src_id, min(s) AS s FROM p GROUP BY 1), r AS (SELECT unnest([1.0E0, 2.0E0, 5.0E0]) AS radius_arcsec) SELECT radius_arcsec, count(*) AS n_matched FROM o JOIN r ON s <= radius_arcsec GROUP BY 1")
