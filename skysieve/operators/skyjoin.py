@@ -135,20 +135,11 @@ def count_within(left: DataFrame, right: DataFrame, radius_arcsec: float, key: s
     return left.join(near.groupBy(key).agg(*wanted), key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_coords: tuple[str, str] = ("ra", "dec"), right_coords: tuple[str, str] = ("ra", "dec"), first_arcsec: float = 60.0) -> DataFrame:
-    """The nearest right row of every left row at whatever distance: the radius grows for rows without one yet."""
-    rest, done, radius = left.where(finite(*left_coords)), None, first_arcsec
-    right = right.where(finite(*right_coords))
-    while True:
-        radius = min(radius, 180.0 * 3600.0)
-        found = cut(match_best(rest, right, radius, left_key, right_key, left_coords=left_coords, right_coords=right_coords))
-        done = found if done is None else done.unionByName(found)
-        if radius >= 180.0 * 3600.0:
-            return done
-        rest = cut(rest.join(found.select(left_key), left_key, "left_anti").select(*left.columns))
-        if rest.isEmpty():
-            return done
-        radius *= 8.0
+def nearest(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_coords: tuple[str, str] = ("ra", "dec"), right_coords: tuple[str, str] = ("ra", "dec")) -> DataFrame:
+    """The nearest right row of every left row at whatever distance, by a pyramid of cells (see operators.pyramid)."""
+    from skysieve.operators import pyramid
+
+    return pyramid.nearest(left, right, left_key, right_key, left_coords, right_coords)
 
 
 def multi_radius(found: DataFrame, radii: Sequence[float], total: Column | int, sep: str = "sep_arcsec") -> DataFrame:

@@ -78,7 +78,7 @@ def veto_accounting(spark, d):
 def sky_nearest_unbounded(spark, d):
     c = read(spark, d, "customer").selectExpr("c_custkey AS id", "((c_custkey * 7919) % 3600000) / 10000.0E0 AS ra", "(((c_custkey * 104729) % 1600000) - 800000) / 10000.0E0 AS dec")
     s = read(spark, d, "supplier").selectExpr("s_suppkey AS sid", "((s_suppkey * 15485863) % 3600000) / 10000.0E0 AS ra", "(((s_suppkey * 32452843) % 1600000) - 800000) / 10000.0E0 AS dec")
-    found = skyjoin.nearest(c, s.withColumnsRenamed({"ra": "ra_s", "dec": "dec_s"}), "id", "sid", right_coords=("ra_s", "dec_s"), first_arcsec=36_000.0)
+    found = skyjoin.nearest(c, s.withColumnsRenamed({"ra": "ra_s", "dec": "dec_s"}), "id", "sid", right_coords=("ra_s", "dec_s"))
     return found.select("id", "sid", F.round("sep_arcsec", 3).alias("sep"))
 
 
