@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skysieve.plans import detail_queries, sky_queries, table_queries
+from skysieve.plans import detail_queries, fit_queries, sky_queries, table_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return sky_queries.QUERIES | table_queries.QUERIES | detail_queries.QUERIES
+    return sky_queries.QUERIES | table_queries.QUERIES | detail_queries.QUERIES | fit_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return sky_queries.SQL | table_queries.SQL | detail_queries.SQL
+    return sky_queries.SQL | table_queries.SQL | detail_queries.SQL | fit_queries.SQL

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions import sky
 from skysieve.functions.sky import finite
+from skysieve.operators import quantiles as select
 
 
 def share(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -16,11 +17,19 @@ def share(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole > 0, F.round(100.0 * part / whole, digits)).otherwise(F.lit(0.0))
 
 
-def distances(df: DataFrame, value: str, group: Sequence[str] = (), quantiles: Sequence[float] = (0.5, 0.9, 0.95)) -> DataFrame:
-    """Count, extremes, mean and interpolated quantiles of a column's finite values."""
+def distances(df: DataFrame, value: str, group: Sequence[str] = (), quantiles: Sequence[float] = (0.5, 0.9, 0.95), large: bool = False) -> DataFrame:
+    """Count, extremes, mean and interpolated quantiles of a column's finite values. Scopes that may hold much of a table
+    (all rows at once, or `large` groups) are selected by rank; the others are one aggregate."""
     x = F.when(finite(value), F.col(value))
-    named = [F.percentile(x, F.lit(q)).alias(f"p{round(q * 100):02d}") for q in quantiles]
-    return df.groupBy(*group).agg(F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), *named)
+    plain = [F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean")]
+    if group and not large:
+        return df.groupBy(*group).agg(*plain, *[F.percentile(x, F.lit(q)).alias(select.name_of(q)) for q in quantiles])
+    names = [select.name_of(q) for q in quantiles]
+    facts, ranks = df.groupBy(*group).agg(*plain), select.exact(df, value, quantiles, group)
+    ranks = ranks.select(*[F.col(g).alias(f"__{g}") for g in group], *names)
+    if not group:
+        return facts.crossJoin(F.broadcast(ranks))  # one row each
+    return facts.join(ranks, [facts[g].eqNullSafe(ranks[f"__{g}"]) for g in group], "left").select(*group, "n", "min", "max", "mean", *names)
 
 
 def global_summary(df: DataFrame, strict: Column) -> DataFrame:
@@ -52,7 +61,7 @@ def late_survivors(after: str, kept: str) -> Column:
 def stage_stats(tiles: DataFrame, value: str, eligible: Column) -> DataFrame:
     """Quantiles of a counter over all, eligible and excluded tiles."""
     scopes = F.array(F.lit("all"), F.when(eligible, "eligible").otherwise("excluded"))
-    return distances(tiles.withColumn("scope", F.explode(scopes)), value, ["scope"], (0.5, 0.9))
+    return distances(tiles.withColumn("scope", F.explode(scopes)), value, ["scope"], (0.5, 0.9), large=True)
 
 
 def duplicate_centres(tiles: DataFrame, digits: int = 3) -> DataFrame:

@@ -282,15 +282,6 @@ def plate_edge_class(spark, d):
     return plates.edge_report(tiles, pl).select("tile_id", "plate_id", F.round("min_edge_dist_px", 3).alias("px"), F.round("min_edge_dist_arcsec", 3).alias("arcsec"), "class_px", "class_arcsec")
 
 
-@query()
-def wcsfix_polyfit(spark, d):
-    from skysieve.operators import fit
-
-    rows = detections(spark, d).join(catalogue(spark, d).select(F.col("cat_id").alias("number"), F.col("ra").alias("ra_ref"), F.col("dec").alias("dec_ref")), "number")
-    rows = rows.withColumn("ra0", F.col("ra_ref")).withColumn("dec0", F.col("dec_ref"))
-    return fit.fits(rows, "tile_id").select("tile_id", "ok", F.transform("coef_ra", lambda c: F.round(c, 6)).alias("coef_ra"), "rounds", "kept", "dropped")
-
-
 @query(cte("det", "any") + f", m AS (SELECT det.src_id, det.ra, det.dec, c.ra AS gra, c.dec AS gdec, c.pmra, c.pmdec FROM det JOIN any_ c ON c.cat_id = det.number), "
        "t AS (SELECT *, radians(pmra * -66.0E0 / 1000.0E0 / 3600.0E0) AS x, radians(pmdec * -66.0E0 / 1000.0E0 / 3600.0E0) AS y, radians(gdec) AS d0 FROM m), "
        "r AS (SELECT *, sqrt(x * x + y * y) AS rho FROM t), "
