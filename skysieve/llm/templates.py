@@ -40,7 +40,7 @@ RUN = 13
 #: Share of an alignment's slot values that must be met by one document value each.
 CONSISTENT = 0.8
 #: Characters that are coded at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 
 # Words that are numbers, and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -89,7 +89,7 @@ class Coder(dict):
     """Codes of the template words of many texts at once; blank-separated tokens are taken apart once and remembered."""
 
     #: Tokens that are remembered.
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self) -> None:
         super().__init__()
