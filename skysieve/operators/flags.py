@@ -37,6 +37,48 @@ def masked_union(base: DataFrame, sidecars: Mapping[str, tuple[DataFrame, str |
     return out.select(*base.columns, *sidecars)
 
 
+def flag_index(tables: Mapping[str, DataFrame], tile: str = "tile_id", number: str = "NUMBER") -> DataFrame:
+    """(tile, bucket, gates): bitmaps of the numbers that each flag table names, by tile, 32,768 numbers a bucket.
+
+    A table without a tile column holds for all tiles; its rows have a null tile. Rows without a number, or without the tile that
+    their table has, name nothing. Bitmaps are built before the shuffle and merged after it, whatever the tables repeat.
+    """
+    parts = None
+    for name, rows in tables.items():
+        where = F.col(tile).cast("string") if tile in rows.columns else F.lit(None).cast("string")
+        n = F.col(number).cast("long")
+        good = rows.where(n.isNotNull() & where.isNotNull()) if tile in rows.columns else rows.where(n.isNotNull())
+        one = good.select(F.lit(name).alias("gate"), where.alias(tile), F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("place"))
+        parts = one if parts is None else parts.unionByName(one)
+    bits = parts.groupBy("gate", tile, "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    return bits.groupBy(tile, "bucket").agg(F.map_from_entries(F.collect_list(F.struct("gate", "bits"))).alias("gates"))  # one entry a gate
+
+
+def indexed_flags(rows: DataFrame, index: DataFrame, gates: Sequence[str], tile: str = "tile_id", number: str = "NUMBER") -> DataFrame:
+    """`rows` with a boolean for each gate, read from the bitmaps of the row's tile or of all tiles; no number: false."""
+    n = F.col(number).cast("long")
+    keyed = rows.withColumns({"__bucket": F.bitmap_bucket_number(n), "__place": F.bitmap_bit_position(n), "__tile": F.col(tile).cast("string")})
+    mine = index.where(F.col(tile).isNotNull()).select(F.col(tile).alias("__tile"), F.col("bucket").alias("__bucket"), F.col("gates").alias("__mine"))
+    all_ = index.where(F.col(tile).isNull()).select(F.col("bucket").alias("__bucket"), F.col("gates").alias("__all"))
+    met = keyed.join(mine, ["__tile", "__bucket"], "left").join(all_, "__bucket", "left")
+
+    def holds(bitmap: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(bitmap, (F.col("__place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.bit_get(byte, F.pmod(F.col("__place"), F.lit(8)).cast("int")) == 1, F.lit(False))
+
+    return met.select(*rows.columns, *[(holds(F.col("__mine")[g]) | holds(F.col("__all")[g])).alias(g) for g in gates])
+
+
+def indexed_survivors(rows: DataFrame, index: DataFrame, gates: Sequence[str], tile: str = "tile_id", number: str = "NUMBER") -> tuple[DataFrame, DataFrame]:
+    """(rows that no gate names, tallies: rows, rows of each gate, kept)."""
+    flagged = indexed_flags(rows, index, gates, tile, number)
+    clear = F.lit(True)
+    for g in gates:
+        clear = clear & ~F.col(g)
+    tallies = flagged.agg(F.count("*").alias("n_rows"), *[F.count_if(g).alias(f"n_{g}") for g in gates], F.count_if(clear).alias("n_kept"))
+    return flagged.where(clear).select(*rows.columns), tallies
+
+
 def passes(gates: Sequence[str], columns: Sequence[str]) -> Column:
     """True where no gate is set; absent columns and nulls pass."""
     out = F.lit(True)

@@ -374,3 +374,29 @@ def candidate_manifest(spark, d):
 def residual_status(spark, d):
     rows = detections(spark, d).withColumn("r", (F.col("FWHM_IMAGE") - 4) / 10.0)
     return qc.residual_status(rows, "r").withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p90")})
+
+
+_FLAGGED = cte("det") + """, vosa AS (SELECT DISTINCT concat('tile-', CAST(l_suppkey % 40 AS STRING)) AS tile_id, l_orderkey AS n FROM lineitem WHERE l_quantity > 44),
+ptf AS (SELECT DISTINCT o_orderkey AS n FROM orders WHERE o_orderkey % 13 = 0), vsx AS (SELECT DISTINCT concat('tile-', CAST(l_suppkey % 40 AS STRING)) AS tile_id, l_orderkey AS n FROM lineitem WHERE l_tax > 0.07 AND l_suppkey % 3 = 0),
+f AS (SELECT src_id, tile_id, (tile_id, number) IN (SELECT (tile_id, n) FROM vosa) AS vosa, number IN (SELECT n FROM ptf) AS ptf, (tile_id, number) IN (SELECT (tile_id, n) FROM vsx) AS vsx FROM det)"""
+
+
+def _indexed(spark, d):
+    lines, tile = read(spark, d, "lineitem"), F.concat(F.lit("tile-"), (F.col("l_suppkey") % 40).cast("string")).alias("tile_id")
+    tables_ = {
+        "vosa": lines.where("l_quantity > 44").select(tile, F.col("l_orderkey").alias("NUMBER")),
+        "ptf": read(spark, d, "orders").where("o_orderkey % 13 = 0").select(F.col("o_orderkey").alias("NUMBER")),
+        "vsx": lines.where("l_tax > 0.07 AND l_suppkey % 3 = 0").select(tile, F.col("l_orderkey").alias("NUMBER")),
+    }
+    return flags.indexed_survivors(detections(spark, d).select("src_id", "tile_id", F.col("number").alias("NUMBER")), flags.flag_index(tables_), [*tables_])
+
+
+@query(_FLAGGED + " SELECT src_id, tile_id FROM f WHERE NOT vosa AND NOT ptf AND NOT vsx")
+def flag_index_survivors(spark, d):
+    """Gates as bitmaps by tile, one flag table without tiles."""
+    return _indexed(spark, d)[0].select("src_id", "tile_id")
+
+
+@query(_FLAGGED + " SELECT count(*) AS n_rows, count(*) FILTER (WHERE vosa) AS n_vosa, count(*) FILTER (WHERE ptf) AS n_ptf, count(*) FILTER (WHERE vsx) AS n_vsx, count(*) FILTER (WHERE NOT vosa AND NOT ptf AND NOT vsx) AS n_kept FROM f")
+def flag_index_tallies(spark, d):
+    return _indexed(spark, d)[1]
