@@ -256,9 +256,9 @@ def plate_by_region(spark, d):
     return plates.plate_of_tile(tiles, held).select("tile_id", "plate_id", F.round("plate_sep_deg", 6).alias("sep_deg"), "method")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
 def uncovered_ids(spark, d):
-    return flags.unmatched(read(spark, d, "customer").selectExpr("c_custkey AS id"), read(spark, d, "orders").selectExpr("o_custkey AS id"), "id")
+    return flags.unmatched(read(spark, d, "customer").selectExpr("c_custkey AS id"), read(spark, d, "orders").where("o_orderkey % 20 = 0").selectExpr("o_custkey AS id"), "id")
 
 
 @query(cte("det") + f""", u AS (SELECT DISTINCT src_id, ra, dec FROM det WHERE plate_no < 5), e AS (SELECT a.src_id AS a, b.src_id AS b FROM u a JOIN u b ON b.dec >= a.dec - {2.0 / 3600 + 1e-9!r} AND b.dec <= a.dec + {2.0 / 3600 + 1e-9!r} AND a.src_id <> b.src_id WHERE {sep('a', 'b')} <= 2.0),
@@ -432,6 +432,23 @@ def fixed_width_lines(spark, d):
     return tables.read_fixed_width(spark, path, {"id": (1, 8, "bigint"), "balance": (9, 14, "double"), "nation": (23, 3, "int")})
 
 
+_KINDS = "CASE WHEN n_nationkey % 6 = 1 THEN concat(n_name, chr(9), 'x') WHEN n_nationkey % 6 = 3 THEN concat(n_name, 'é') WHEN n_nationkey % 6 = 4 THEN concat(n_name, 'é') ELSE n_name END"
+
+
+@query(f"SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 <> 5 THEN concat('R', n_regionkey) END AS region, CASE WHEN n_nationkey % 6 <> 5 THEN {_KINDS} END AS name, CASE WHEN n_nationkey % 6 <> 5 THEN n_nationkey * 1.5E0 END AS ra FROM nation")
+def headers_of_kinds(spark, d):
+    """One folder of header, selected and root objects, with raw tabs in strings, a byte-order mark, Latin-1, control characters between
+    values, and files that don't parse."""
+    path, k = scratch(spark, "headers"), F.col("n_nationkey") % 6
+    raw = lambda code: F.unhex(F.lit(code)).cast("string")
+    name = F.when(k == 1, F.concat("n_name", raw("09"), F.lit("x"))).when(k == 3, F.concat("n_name", F.lit("é"))).when(k == 4, F.concat("n_name", raw("E9"))).otherwise(F.col("n_name"))
+    inner = F.concat(F.lit('{"REGION": "R'), F.col("n_regionkey").cast("string"), F.lit('", "NOTE": "'), name, F.lit('", "PLATERA": '), (F.col("n_nationkey") * F.lit(1.5)).cast("string"), F.when(k == 4, raw("01")).otherwise(F.lit("")), F.lit(', "more": {"REGION": 1}}'))
+    text = F.when(k == 0, F.concat(F.lit('{"header": '), inner, F.lit(', "selected": {"REGION": "no"}}'))).when(k == 1, F.concat(F.lit('{"header": null, "selected": '), inner, F.lit("}"))).when(k == 3, F.concat(raw("EFBBBF"), inner)).when(k == 5, F.concat(F.lit('{"header": '), inner)).otherwise(inner)
+    read(spark, d, "nation").select("n_nationkey", text.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("n_nationkey").text(path)
+    heads = tables.read_headers(spark, f"{path}/*/*.txt", ["REGION", "NOTE", "PLATERA"])
+    return heads.select(F.regexp_extract("file", "n_nationkey=([0-9]+)", 1).cast("long").alias("id"), F.col("REGION").alias("region"), F.col("NOTE").alias("name"), F.col("PLATERA").cast("double").alias("ra"))
+
+
 @query("SELECT n_nationkey AS id, n_name AS name, CAST(n_regionkey AS STRING) AS region FROM nation")
 def sidecars_and_reports(spark, d):
     path = scratch(spark, "notes")

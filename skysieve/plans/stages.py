@@ -124,13 +124,15 @@ def veto(rows: DataFrame, catalogue: DataFrame, radius: float = 5.0, key: str =
 def cascade(rows: DataFrame, catalogues: Sequence[tuple[str, DataFrame]], radius: float = 5.0, key: str = "src_id") -> tuple[DataFrame, DataFrame]:
     """(survivors, accounting): vetoes in order, and for each: rows before and after, eliminated, pairs.
 
-    What a veto carries on is checkpointed, since pairs, anti-join and accounting all read it.
+    Each veto joins the sky once: the pairs of each row are counted and checkpointed, the rows without any carry on, and
+    the accounting is sums over both.
     """
     now, account = rows, None
     for step, (name, catalogue) in enumerate(catalogues):
-        found, rest = veto(now, catalogue, radius, key)
-        rest = cut(rest)
-        line = now.agg(F.count("*").alias("n_before")).crossJoin(rest.agg(F.count("*").alias("n_after"))).crossJoin(found.agg(F.count("*").alias("n_pairs")))
+        found, _ = veto(now, catalogue, radius, key)
+        hit = cut(found.groupBy(key).agg(F.count("*").alias("n")))
+        rest = cut(now.join(hit.select(key), key, "left_anti"))
+        line = now.agg(F.count("*").alias("n_before")).crossJoin(rest.agg(F.count("*").alias("n_after"))).crossJoin(hit.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs")))
         line = line.select(F.lit(step + 1).alias("step"), F.lit(name).alias("veto"), "n_before", "n_after", F.greatest(F.lit(0), F.col("n_before") - F.col("n_after")).alias("n_eliminated"), "n_pairs")
         account = line if account is None else account.unionByName(line)
         now = rest

@@ -234,9 +234,9 @@ def stage_stats_scopes(spark, d):
     return qc.stage_stats(tiles, "late", F.substring("tile_id", 6, 9).cast("int") % 4 != 0).withColumns({c: F.round(c, 6) for c in ("mean", "p90")})
 
 
-@query("WITH t AS (SELECT ((c_custkey * 7919) % 97) / 10.0E0 AS ra, ((c_custkey * 104729) % 61) / 10.0E0 AS dec FROM customer) SELECT round(ra, 3) AS ra, round(dec, 3) AS dec, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) > 1")
+@query("WITH t AS (SELECT ((c_custkey * 7919) % 29) / 10.0E0 AS ra, ((c_custkey * 104729) % 23) / 10.0E0 AS dec FROM customer WHERE c_custkey % 11 <> 0 OR c_custkey % 29 = 0) SELECT round(ra, 3) AS ra, round(dec, 3) AS dec, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_centres(spark, d):
-    return qc.duplicate_centres(read(spark, d, "customer").selectExpr("((c_custkey * 7919) % 97) / 10.0E0 AS ra", "((c_custkey * 104729) % 61) / 10.0E0 AS dec"))
+    return qc.duplicate_centres(read(spark, d, "customer").where("c_custkey % 11 <> 0 OR c_custkey % 29 = 0").selectExpr("((c_custkey * 7919) % 29) / 10.0E0 AS ra", "((c_custkey * 104729) % 23) / 10.0E0 AS dec"))
 
 
 @query(_TILESTATS + " SELECT tile_id, fwhm FROM e WHERE isfinite(fwhm) ORDER BY fwhm DESC, tile_id LIMIT 10")
@@ -359,17 +359,35 @@ def master_bins(spark, d):
 _BAND = repr(0.25 / 3600 + 1e-9)
 
 
-@query(cte("det") + f""", s AS (SELECT concat(tile_id, ':', CAST(number AS STRING)) AS src_id, * EXCLUDE (src_id) FROM det),
-u AS (SELECT src_id, tile_id, plate_no, ra, dec FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY ra, dec) AS n FROM s) WHERE n = 1),
+def _manifest(eligible: str, core: str) -> str:
+    return cte("det") + f""", s AS (SELECT concat(tile_id, ':', CAST(number AS STRING)) AS src_id, * EXCLUDE (src_id) FROM det),
+u AS (SELECT src_id, tile_id, plate_no, ra, dec, {core} AS core FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY ra, dec) AS n FROM s) WHERE n = 1 AND {eligible}),
 e AS (SELECT a.src_id AS a, b.src_id AS b FROM u a JOIN u b ON b.dec >= a.dec - {_BAND} AND b.dec <= a.dec + {_BAND} AND a.plate_no = b.plate_no AND a.src_id <> b.src_id WHERE {sep('a', 'b')} <= 0.25),
 r AS (WITH RECURSIVE t(n, m) AS (SELECT src_id, src_id FROM u UNION SELECT e.b, t.m FROM t JOIN e ON e.a = t.n) SELECT n, min(m) AS m FROM t GROUP BY 1),
+p AS (SELECT m, arg_min(n, (CASE WHEN core THEN 0 ELSE 1 END, n)) AS rep FROM r JOIN u ON u.src_id = r.n GROUP BY 1),
 w AS (SELECT tile_id, count(*) AS n_emitted FROM s GROUP BY 1)
-SELECT w.tile_id, w.n_emitted, count(*) AS n_rows, count(*) FILTER (WHERE r.n = r.m) AS n_kept, count(*) AS n_core FROM w JOIN u USING (tile_id) JOIN r ON r.n = u.src_id GROUP BY 1, 2""")
+SELECT w.tile_id, w.n_emitted, count(*) AS n_rows, count(p.rep) AS n_kept, count(*) FILTER (WHERE core) AS n_core FROM w JOIN u USING (tile_id) LEFT JOIN p ON p.rep = u.src_id GROUP BY 1, 2"""
+
+
+@query(_manifest("TRUE", "TRUE"))
 def candidate_manifest(spark, d):
     rows = detections(spark, d).select("tile_id", F.col("number").alias("object_id"), "ra", "dec", F.col("plate_no").alias("plate_id"))
     return stages.build_candidates(rows)["manifest"]
 
 
+_TILE_NO = "CAST(substr(tile_id, 6) AS INTEGER)"
+
+
+@query(_manifest(f"{_TILE_NO} % 5 <> 0", f"{_TILE_NO} % 3 <> 1"))
+def candidate_manifest_core(spark, d):
+    """With a list of eligible tiles and an edge report: core by pixels, by arcseconds, or not at all."""
+    rows = detections(spark, d).select("tile_id", F.col("number").alias("object_id"), "ra", "dec", F.col("plate_no").alias("plate_id"))
+    tiles = rows.select("tile_id").distinct()
+    number = F.substring("tile_id", 6, 9).cast("int")
+    edge = tiles.select("tile_id", F.when(number % 3 == 0, "core").otherwise("near_edge").alias("class_px"), F.when(number % 3 == 2, "CORE").otherwise("edge_touch").alias("class_arcsec"))
+    return stages.build_candidates(rows, eligible=tiles.where(number % 5 != 0), edge=edge)["manifest"]
+
+
 @query(cte("det") + ", f AS (SELECT *, CASE WHEN isfinite(FWHM_IMAGE) THEN (FWHM_IMAGE - 4) / 10.0E0 END AS r FROM det) SELECT count(r) AS n, min(r) AS min, max(r) AS max, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.9), 6) AS p90, CASE WHEN quantile_cont(r, 0.5) <= 0.3 AND quantile_cont(r, 0.9) <= 1.0 THEN 'OK' ELSE 'WARN' END AS status FROM f")
 def residual_status(spark, d):
     rows = detections(spark, d).withColumn("r", (F.col("FWHM_IMAGE") - 4) / 10.0)

@@ -116,12 +116,38 @@ def without_arrays(df: DataFrame) -> DataFrame:
     return df.select(*[f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")])
 
 
-def read_headers(spark: SparkSession, glob: str) -> DataFrame:
-    """Plate headers from JSON files: the object header, else selected, else the root, with the file."""
-    df = spark.read.json(glob, multiLine=True, allowUnquotedControlChars=True)
-    part = "header" if "header" in df.columns else "selected" if "selected" in df.columns else None
-    file = F.col("_metadata.file_path").alias("file")
-    return df.select(file, F.col(f"{part}.*")) if part else df.select(file, "*")
+def header_maps(spark: SparkSession, glob: str) -> DataFrame:
+    """(file, header map<string, string>) of JSON files, each by its own shape: the object `header`, else `selected`, else
+    the root. Values are text as written, objects and lists as JSON.
+
+    A file is read as UTF-8 with or without a byte-order mark, else as Latin-1, else as Latin-1 without control characters,
+    whichever parses first; control characters within strings are let through. A file that doesn't parse has a null map,
+    an empty one no row.
+    """
+    files = spark.read.format("binaryFile").load(glob).select(F.col("path").alias("file"), "content")
+    utf = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^\uFEFF", ""))
+    latin = F.decode("content", "ISO-8859-1")
+    scrubbed = F.regexp_replace(latin, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    lenient = {"allowUnquotedControlChars": "true"}
+    root = lambda text: F.from_json(text, "map<string,string>", lenient)
+    texts = files.withColumn("texts", F.filter(F.array(utf, latin, scrubbed), lambda t: t.isNotNull() & root(t).isNotNull()))
+    parsed = texts.select("file", F.get("texts", F.lit(0)).alias("text")).withColumn("part", F.from_json("text", "header map<string,string>, selected map<string,string>", lenient))
+    return parsed.select("file", F.coalesce("part.header", "part.selected", root(F.col("text"))).alias("header"))
+
+
+def read_headers(spark: SparkSession, glob: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Plate headers from JSON files of any shape, one row a file: `file` and a text column for each keyword, or for `keys`.
+
+    Keywords that differ by case only share a column; a keyword called file comes as header_file.
+    """
+    heads = header_maps(spark, glob)
+    if keys is None:
+        keys = sorted(r[0] for r in heads.select(F.explode(F.map_keys("header")).alias("k")).distinct().collect())  # keywords, not rows
+    by_name: dict[str, list[str]] = {}
+    for k in keys:
+        by_name.setdefault(k.lower(), []).append(k)
+    named = lambda k: "header_file" if k.lower() == "file" else k
+    return heads.select("file", *[F.coalesce(*[F.col("header")[k] for k in same]).alias(named(same[0])) for same in by_name.values()])
 
 
 def read_fixed_width(spark: SparkSession, path: str, columns: dict[str, tuple[int, int, str]]) -> DataFrame:

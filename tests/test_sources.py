@@ -191,3 +191,26 @@ def test_sql(spark):
     sqlapi.view_pairs(spark, "met", "a", "b", 2.0)
     row = spark.sql("SELECT row_tile(row_id), round(sky_sep(10, 0, 10, 1), 6), sky_ra_bin(359), sky_dec_bin(-90), is_true('Yes'), oid FROM met").first()
     assert tuple(row) == ("t", 3600.0, 71, 0, True, "x")
+
+
+def test_headers_of_a_mixed_folder(spark, tmp_path):
+    """Each file is read by its own shape and encoding."""
+    whole = {
+        "header": b'{"header": {"REGION": "A", "N": 1}, "selected": {"REGION": "no"}, "REGION": "root"}',
+        "selected": b'{"header": [1], "selected": {"REGION": "B", "file": "f.fits"}}',
+        "root": b'{"REGION": "C", "region": "c", "PLATERA": 10.25, "list": [1, 2]}',
+        "tab": b'{"header": {"REGION": "D\tE"}}',
+        "bom": b'\xef\xbb\xbf{"REGION": "F\xc3\xa9"}',
+        "latin": b'{"REGION": "G\xe9"}',
+        "control": b'{"REGION":\x01 "H"}',
+        "empty_header": b'{"header": {}, "REGION": "no"}',
+        "broken": b'{"REGION": ',
+        "none": b"",
+    }
+    for name, raw in whole.items():
+        (tmp_path / f"{name}.json").write_bytes(raw)
+    heads = tables.read_headers(spark, str(tmp_path / "*.json"))
+    assert {c.lower() for c in heads.columns} == {"file", "region", "n", "header_file", "platera", "list"}
+    got = {r["file"].rsplit("/", 1)[1][:-5]: r for r in heads.collect()}
+    assert {k: r["REGION"] for k, r in got.items()} == {"header": "A", "selected": "B", "root": "C", "tab": "D\tE", "bom": "Fé", "latin": "Gé", "control": "H", "empty_header": None, "broken": None}
+    assert got["header"]["N"] == "1" and got["selected"]["header_file"] == "f.fits" and got["root"]["PLATERA"] == "10.25" and got["root"]["list"] == "[1,2]"
