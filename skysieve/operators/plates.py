@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysieve.functions import sky
+from skysieve.functions.sky import finite
 from skysieve.functions.text import epoch_iso, epoch_timestamp, jd
 from skysieve.operators.dedup import first_by
 from skysieve.operators.skyjoin import match_best
@@ -129,21 +130,30 @@ def overlapping_tiles(a: DataFrame, b: DataFrame, size_deg: float, least: float,
     return met.where(F.col("overlap") >= least).drop("__r", "__d")
 
 
-def plate_grid(spark, ra0: float, dec0: float, half_deg: float, step_deg: float, hexagonal: bool = False) -> DataFrame:
-    """(row, column, ra, dec): rectangular or hexagonal centres of a plate's tessellation."""
+def tessellated(plates: DataFrame, half_deg: float, step_deg: float, hexagonal: bool = False, coords: tuple[str, str] = ("ra", "dec")) -> DataFrame:
+    """`plates` with row, column and the tile's ra, dec: a rectangular or hexagonal tessellation about every plate's centre.
+
+    Plates are rows and each makes its own tiles, so the work grows and spreads with them. A plate without a finite centre has no tiles.
+    """
     k = int(half_deg // step_deg)
-    rows, columns = spark.range(-k, k + 1).withColumnRenamed("id", "row"), F.explode(F.sequence(F.lit(-k), F.lit(k)))
+    across = F.sequence(F.lit(-k), F.lit(k))
+    each = plates.where(finite(*coords)).withColumnsRenamed({coords[0]: "__ra0", coords[1]: "__dec0"}).withColumn("row", F.explode(across)).withColumn("column", F.explode(across))
     height = step_deg * (3**0.5 / 2 if hexagonal else 1.0)
-    grid = rows.withColumn("column", columns)
     eta = F.col("row") * height
     xi = (F.col("column") + (F.pmod(F.col("row"), F.lit(2)) * 0.5 if hexagonal else F.lit(0.0))) * step_deg
-    ra, dec = sky.gnomonic_inverse(xi, eta, ra0, dec0)
-    return grid.select("row", "column", ra.alias("ra"), dec.alias("dec"))
+    ra, dec = sky.gnomonic_inverse(xi, eta, "__ra0", "__dec0")
+    others = [c for c in plates.columns if c not in coords]
+    return each.select(*others, F.col("row").cast("long").alias("row"), "column", ra.alias("ra"), dec.alias("dec"))
+
+
+def plate_grid(spark, ra0: float, dec0: float, half_deg: float, step_deg: float, hexagonal: bool = False) -> DataFrame:
+    """(row, column, ra, dec): rectangular or hexagonal centres of one plate's tessellation."""
+    return tessellated(spark.createDataFrame([(ra0, dec0)], "ra double, dec double"), half_deg, step_deg, hexagonal)
 
 
 def coverage_grid(spark, plates: DataFrame, step_deg: int = 5, radius_deg: float = 3.25) -> DataFrame:
-    """(ra, dec, letter): class letter of the plate nearest to each grid centre (dot: none)."""
-    grid = spark.range(0, 360, step_deg).select(F.col("id").cast("double").alias("ra"), F.explode(F.sequence(F.lit(-90), F.lit(90), F.lit(step_deg))).cast("double").alias("dec"))
+    """(ra, dec, letter): class letter of the plate (plate_id, ra0, dec0, survey) nearest to each grid centre (dot: none)."""
+    grid = spark.range(0, 360, step_deg).select(F.col("id").cast("double").alias("ra"), F.explode(F.sequence(F.lit(-90), F.lit(90), F.lit(step_deg))).alias("dec")).withColumn("dec", F.col("dec").cast("double"))
     grid = grid.withColumn("cell", F.concat_ws("/", "ra", "dec"))
     named = nearest_plate(grid, plates, "cell", radius_deg).join(plates.select("plate_id", "survey"), "plate_id", "left")
     from skysieve.functions.text import survey_class

@@ -39,7 +39,8 @@ def zoned(df: DataFrame, coords: tuple[str, str], radius_arcsec: float, copies:
     """`df` with its finite rows dealt to (zone, cell); `copies` to every zone and cell that the radius reaches."""
     radius = radius_arcsec / 3600.0
     factor = FACTOR if radius <= WIDE else 1.0
-    height = max(factor * radius, 1.0 / 3600.0)
+    # more than the pad below, so that no zone lies between a row's own and the one its circle ends in
+    height = max(factor * radius * (1 + 1e-8) + 1e-8, 1.0 / 3600.0)
     ra, dec = sanitize(*coords)
     df = df.where(finite(*coords))
     # keys that can't be null: else the planner infers null tests of them and works them out again in a filter

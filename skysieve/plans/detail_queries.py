@@ -87,9 +87,18 @@ def tile_corners(spark, d):
     return _suppliers(spark, d).select("id", F.round(ra, 8).alias("ra"), F.round(dec, 8).alias("dec"), F.round(w, 9).alias("half_w"), F.round(h, 9).alias("half_h"), F.round(scale, 6).alias("scale"))
 
 
-@query('WITH r AS (SELECT CAST(range AS BIGINT) AS row FROM range(-4, 5)), c AS (SELECT CAST(range AS INTEGER) AS "column" FROM range(-4, 5)), g AS (SELECT row, "column", radians(("column" + ((row % 2 + 2) % 2) * 0.5E0) * 0.5E0) AS x, radians(row * 0.5E0 * (sqrt(3.0E0) / 2)) AS y, radians(20.0E0) AS d0 FROM r, c), p AS (SELECT *, sqrt(x * x + y * y) AS rho, atan(sqrt(x * x + y * y)) AS c FROM g) SELECT row, "column", round((40.0E0 + CASE WHEN rho > 0 THEN degrees(atan2(x * sin(c), rho * cos(d0) * cos(c) - y * sin(d0) * sin(c))) ELSE 0 END + 360) % 360, 8) AS ra, round(degrees(CASE WHEN rho > 0 THEN asin(cos(c) * sin(d0) + y * sin(c) * cos(d0) / rho) ELSE d0 END), 8) AS dec FROM p')
+@query(f'WITH r AS (SELECT CAST(range AS BIGINT) AS row FROM range(-4, 5)), c AS (SELECT CAST(range AS INTEGER) AS "column" FROM range(-4, 5)), g AS (SELECT id, ra AS ra0, row, "column", radians(("column" + ((row % 2 + 2) % 2) * 0.5E0) * 0.5E0) AS x, radians(row * 0.5E0 * (sqrt(3.0E0) / 2)) AS y, radians(dec) AS d0 FROM ({_SUPPLIERS}), r, c), p AS (SELECT *, sqrt(x * x + y * y) AS rho, atan(sqrt(x * x + y * y)) AS c FROM g) SELECT id, row, "column", round((ra0 + CASE WHEN rho > 0 THEN degrees(atan2(x * sin(c), rho * cos(d0) * cos(c) - y * sin(d0) * sin(c))) ELSE 0 END + 360) % 360, 7) % 360 AS ra, round(degrees(CASE WHEN rho > 0 THEN asin(cos(c) * sin(d0) + y * sin(c) * cos(d0) / rho) ELSE d0 END), 7) AS dec FROM p')
 def hexagonal_centres(spark, d):
-    return plates.plate_grid(spark, 40.0, 20.0, 2.0, 0.5, True).select("row", "column", F.round("ra", 8).alias("ra"), F.round("dec", 8).alias("dec"))
+    """A tessellation of every plate of a table."""
+    found = plates.tessellated(_suppliers(spark, d), 2.0, 0.5, True)
+    return found.select("id", "row", "column", (F.round("ra", 7) % 360).alias("ra"), F.round("dec", 7).alias("dec"))
+
+
+@query(f"WITH p AS (SELECT id, ra, dec, CASE id % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'U' ELSE 'S' END AS letter FROM ({_SUPPLIERS})), g AS (SELECT CAST(a AS DOUBLE) AS ra, CAST(b AS DOUBLE) AS dec FROM (SELECT unnest(range(0, 360, 10)) AS a), (SELECT unnest(range(-90, 91, 10)) AS b)), n AS (SELECT g.ra, g.dec, letter, row_number() OVER (PARTITION BY g.ra, g.dec ORDER BY {sep('g', 'p')}, id) AS k FROM g JOIN p ON {sep('g', 'p')} <= 7 * 3600) SELECT g.ra, g.dec, coalesce(letter, '.') AS letter FROM g LEFT JOIN n ON n.ra = g.ra AND n.dec = g.dec AND k = 1")
+def coverage_letters(spark, d):
+    """The class letter of the plate nearest to each grid centre."""
+    survey = F.when(F.col("id") % 3 == 0, "POSSI-E").when(F.col("id") % 3 == 1, "unknown").otherwise("SERC-J")
+    return plates.coverage_grid(spark, _suppliers(spark, d).withColumn("survey", survey).withColumnsRenamed({"id": "plate_id", "ra": "ra0", "dec": "dec0"}), 10, 7.0)
 
 
 @query("SELECT p_partkey AS id, CASE WHEN upper(p_type) LIKE '%POSS%' THEN 'POSS' ELSE 'UNKNOWN' END AS plain, CASE p_partkey % 5 WHEN 0 THEN 'SERC_AAO' WHEN 1 THEN 'SERC_AAO' WHEN 2 THEN 'SUPPLEMENTAL' WHEN 3 THEN 'POSS' ELSE 'UNKNOWN' END AS class FROM part")
@@ -479,13 +488,18 @@ def ecsv_tables(spark, d):
     return tables.read_ecsv(spark, path).where("name = 'a b'").select(F.col("id").cast("long").alias("id"), F.col("region").cast("long").alias("region"))
 
 
-@query("SELECT r_regionkey AS id, (r_regionkey + 0.5E0) AS ra, (-r_regionkey - 0.25E0) AS dec FROM region")
+_UPLOADED = "((c_custkey * 7919) % 360000) / 1000.0E0 AS ra, ((c_custkey * 104729) % 180000 - 90000) / 1000.0E0 AS dec"
+
+
+@query(f"SELECT c_custkey AS id, {_UPLOADED}, (row_number() OVER (ORDER BY lpad(CAST(c_custkey AS STRING), 18, '0')) - 1) // 400 + 1 AS chunk FROM customer")
 def upload_tables(spark, d):
+    """One VOTable a chunk of 400 rows, written by the tasks, read back."""
     path = scratch(spark, "upload")
-    rows = read(spark, d, "region").selectExpr("concat('00000000000000000', r_regionkey) AS row_id", "r_regionkey + 0.5D AS ra", "-r_regionkey - 0.25D AS dec")
-    tables.write_text(spark, path, votable.upload(rows))
-    back = votable.rows(votable.read_votables(spark, path), ["row_id", "ra", "dec"])
-    return back.select(F.col("row_id").cast("long").alias("id"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"))
+    rows = read(spark, d, "customer").selectExpr("lpad(CAST(c_custkey AS STRING), 18, '0') AS row_id", *_UPLOADED.split(", "))
+    votable.write_uploads(rows, path, 400)
+    back = votable.rows(votable.read_votables(spark, f"{path}/*"), ["row_id", "ra", "dec"])
+    chunk = F.regexp_extract("file", "chunk=([0-9]+)", 1).cast("long")
+    return back.select(F.col("row_id").cast("long").alias("id"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"), chunk.alias("chunk"))
 
 
 @query("SELECT 'FIRST' AS stage, CAST(count(*) AS BIGINT) AS rows_in FROM customer UNION ALL SELECT 'SECOND', CAST(count(*) AS BIGINT) FROM orders")

@@ -44,13 +44,21 @@ def positions(found: DataFrame, decimal: tuple[str, str] = ("_raj2000", "_decj20
     return placed.where(finite("ra", "dec") & F.col("ra").between(0, 360) & F.col("dec").between(-90, 90))
 
 
-def upload(positions: DataFrame, most_rows: int = 100_000, key: str = "row_id") -> str:
-    """VOTable text of one upload chunk: the id as up to 24 ASCII characters, ra and dec as doubles, in order of the id.
-
-    An upload is one document, so a chunk of more than `most_rows` rows is refused."""
-    found = positions.select(F.col(key).cast("string").alias("k"), F.col("ra").cast("double"), F.col("dec").cast("double")).orderBy("k").limit(most_rows + 1).collect()
-    if len(found) > most_rows:
-        raise ValueError(f"more than {most_rows} rows in one upload")
-    cells = "".join(f"<TR><TD>{r['k'].encode('ascii', 'replace').decode()[:24]}</TD><TD>{r['ra']!r}</TD><TD>{r['dec']!r}</TD></TR>\n" for r in found)
+def write_uploads(positions: DataFrame, path: str, size: int = 20_000, key: str = "row_id") -> None:
+    """One VOTable a chunk of `size` rows in order of the id, below path/chunk=<number from 1>: the id as up to 24 ASCII
+    characters, ra and dec as doubles.
+
+    Each chunk is put together by the task that writes it, from `size` rows at most; files appear when all tasks are done, and a
+    task that fails or is repeated leaves none behind. Rows without a finite position aren't written.
+    """
+    from skysieve.sources.tables import numbered
+
+    rows = positions.where(finite("ra", "dec")).select(F.col(key).cast("string").alias("k"), F.col("ra").cast("double").alias("ra"), F.col("dec").cast("double").alias("dec"))
+    name = F.regexp_replace(F.coalesce("k", F.lit("")), r"[^\x20-\x7E]", "?").substr(1, 24)
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        name = F.replace(name, F.lit(sign), F.lit(entity))
+    cells = F.concat(F.lit("<TR><TD>"), name, F.lit("</TD><TD>"), F.col("ra").cast("string"), F.lit("</TD><TD>"), F.col("dec").cast("string"), F.lit("</TD></TR>\n"))
+    chunks = numbered(rows, "k", size).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("k", "ra", "dec", cells.alias("tr")))).alias("rows"))  # `size` rows a chunk
     fields = f'<FIELD name="{key}" datatype="char" arraysize="24"/><FIELD name="ra" datatype="double" unit="deg"/><FIELD name="dec" datatype="double" unit="deg"/>'
-    return f'<?xml version="1.0"?>\n<VOTABLE version="1.3"><RESOURCE><TABLE>{fields}<DATA><TABLEDATA>\n{cells}</TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>\n'
+    text = F.concat(F.lit(f'<?xml version="1.0"?>\n<VOTABLE version="1.3"><RESOURCE><TABLE>{fields}<DATA><TABLEDATA>\n'), F.array_join("rows.tr", ""), F.lit("</TABLEDATA></DATA></TABLE></RESOURCE></VOTABLE>"))
+    chunks.select("chunk", text.alias("value")).write.partitionBy("chunk").text(path)

@@ -117,3 +117,17 @@ def test_healpix_counts(spark):
     assert len(n) == 48 and min(n) > 1_000 and max(n) < 1_500
     names = pts.select(sky.healpix_nested("ra", "dec", 5).alias("p")).agg(F.min("p"), F.max("p"), F.count_distinct("p")).first()
     assert tuple(names) == (0, 12 * 1024 - 1, 12 * 1024) or names[2] > 12_000
+
+
+@pytest.mark.parametrize("radius_deg", [0.4, 0.7, 7.0, 40.0])
+@pytest.mark.parametrize("copy", ["left", "right"])
+def test_pairs_at_zone_borders(spark, radius_deg, copy):
+    """Positions on multiples of the radius, where zones and cells begin, lose no pair."""
+    steps = [-90.0 + k * radius_deg for k in range(int(180 / radius_deg) + 1)][:: max(1, int(12 / radius_deg))]
+    left = [(float(ra), dec) for dec in steps for ra in (0.0, radius_deg, 180.0 - radius_deg, 359.99)]
+    right = [(ra + 0.3 * radius_deg, max(-90.0, min(90.0, dec + f * radius_deg))) for ra, dec in left for f in (-0.9, -0.2, 0.0, 0.85)]
+    a = spark.createDataFrame([(k, *p) for k, p in enumerate(left)], "id long, ra double, dec double")
+    b = spark.createDataFrame([(k, *p) for k, p in enumerate(right)], "oid long, r double, d double")
+    got = {(r["id"], r["oid"]) for r in skyjoin.pairs(a, b, radius_deg * 3600, right_coords=("r", "d"), copy=copy).select("id", "oid").collect()}
+    sep = lambda p, q: math.degrees(2 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2))))
+    assert got == {(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if sep(p, q) <= radius_deg}

@@ -214,3 +214,18 @@ def test_headers_of_a_mixed_folder(spark, tmp_path):
     got = {r["file"].rsplit("/", 1)[1][:-5]: r for r in heads.collect()}
     assert {k: r["REGION"] for k, r in got.items()} == {"header": "A", "selected": "B", "root": "C", "tab": "D\tE", "bom": "Fé", "latin": "Gé", "control": "H", "empty_header": None, "broken": None}
     assert got["header"]["N"] == "1" and got["selected"]["header_file"] == "f.fits" and got["root"]["PLATERA"] == "10.25" and got["root"]["list"] == "[1,2]"
+
+
+def test_uploads_by_chunk(spark, tmp_path):
+    """Every row is in one table of its chunk; a task that fails leaves no table."""
+    rows = [(f"id{k:04d}" if k else "a<&>é" + "x" * 40, k / 7.0, -k / 9.0) for k in range(250)] + [("none", None, 1.0), ("nan", float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "row_id string, ra double, dec double").repartition(5)
+    votable.write_uploads(df, str(tmp_path / "u"), 100)
+    files = sorted((tmp_path / "u").glob("chunk=*/*.txt"))
+    assert [f.parent.name for f in files] == ["chunk=1", "chunk=2", "chunk=3"]
+    back = votable.rows(votable.read_votables(spark, str(tmp_path / "u" / "*")), ["row_id", "ra", "dec"]).collect()
+    assert sorted((r["row_id"], float(r["ra"]), float(r["dec"])) for r in back) == sorted([("a&lt;&amp;&gt;?" + "x" * 19, 0.0, 0.0)] + [(r[0], r[1], r[2]) for r in rows[1:250]])
+    bad = df.withColumn("ra", F.when(F.col("row_id") == "id0200", F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("ra")))
+    with pytest.raises(Exception, match="stop"):
+        votable.write_uploads(bad, str(tmp_path / "v"), 100)
+    assert not list((tmp_path / "v").rglob("*.txt"))
