@@ -204,12 +204,14 @@ class SegmentTree:
                 rest = later[position]
                 break
             if not whole and position + len(piece) + AHEAD > len(text):
+                self.encoded += len(sizes)  # a try that doesn't do has encoded them too
                 return None  # what follows may change this piece
             sizes.append(len(piece))
             counts.append(self.counter[piece])
             position += len(piece)
         else:
             if not whole:
+                self.encoded += len(sizes)
                 return None
         self.fresh = len(sizes)
         return text, np.concatenate((lengths[:k], np.array(sizes, np.int32), lengths[rest:])), np.concatenate((known[:k], np.array(counts, np.int32), known[rest:]))
