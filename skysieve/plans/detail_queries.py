@@ -10,6 +10,7 @@ from skysieve.plans import composites, master, qc, stages
 from skysieve.plans.derived import GOOD_SHOT, catalogue, cte, detections, frames, pair_cte, read, sep, shots
 from skysieve.session import cut, scratch
 from skysieve.sources import tables, votable
+from skysieve.streaming import retry
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -574,3 +575,20 @@ def strict_by_distance(spark, d):
 @query(cte("det") + " SELECT src_id, tile_id FROM (SELECT src_id, tile_id, row_number() OVER (PARTITION BY src_id ORDER BY tile_id) AS n FROM det) WHERE n = 1 ORDER BY src_id LIMIT 100")
 def limited_in_order(spark, d):
     return cut(dedup.first_by(detections(spark, d).select("src_id", "tile_id"), ["src_id"], [F.col("tile_id")])).orderBy("src_id").limit(100)
+
+
+_OUTCOMES = "concat('i', CAST(event_id % 700 AS STRING)) AS item, CASE event_id % 4 WHEN 0 THEN 'new' WHEN 3 THEN 'ok' ELSE 'failed' END AS outcome"
+
+
+@query(f"""WITH e AS (SELECT {_OUTCOMES}, ts AS t FROM events), o AS (SELECT item, outcome, t FROM (SELECT *, row_number() OVER (PARTITION BY item, t ORDER BY outcome DESC) AS k FROM e WHERE outcome <> 'new') WHERE k = 1),
+c AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (WHERE outcome = 'failed') OVER w AS failures FROM o WINDOW w AS (PARTITION BY item ORDER BY t)),
+f AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY t) AS k FROM c WHERE outcome = 'ok' OR failures >= 3)
+SELECT item, CASE WHEN outcome = 'ok' THEN 'done' ELSE 'given_up' END AS status, CAST(n AS INTEGER) AS attempts FROM f WHERE k = 1""")
+def retried_items(spark, d):
+    """Items that ended, from a stream of attempts with keyed state; each ends once."""
+    source, out = scratch(spark, "attempts"), scratch(spark, "ended")
+    read(spark, d, "events").selectExpr(*_OUTCOMES.rsplit(", CASE", 1)[:1], "CASE" + _OUTCOMES.rsplit(", CASE", 1)[1], "CAST(ts AS TIMESTAMP) AS at").write.parquet(source)
+    events = spark.readStream.schema("item string, outcome string, at timestamp").parquet(source)
+    each = retry.attempts(events, most=3).writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True)
+    each.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    return spark.read.parquet(out).where("status <> 'due'").select("item", "status", "attempts")
