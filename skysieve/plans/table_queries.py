@@ -276,10 +276,10 @@ def id_set_deltas(spark, d):
     return flags.id_deltas(rows.where("l_quantity > 48"), rows.where("l_tax > 0.07"), "id")
 
 
-@query("SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS day, o_orderpriority, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 2000.0) + 1 AS INTEGER) AS chunk FROM orders")
+@query("SELECT o_orderkey AS id, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 2000.0) + 1 AS INTEGER) AS chunk FROM orders")
 def chunk_numbering(spark, d):
     rows = numbered(read(spark, d, "orders").withColumnRenamed("o_orderkey", "id"), "id", 2_000)
-    return rows.withColumn("day", F.to_date("o_orderdate")).drop("o_orderdate")
+    return rows.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).drop("o_orderdate")
 
 
 _FILES = "SELECT concat('part-', CAST(p_partkey AS STRING)) AS path, p_size * 10 AS size, p_partkey * 1000 AS mtime_ns FROM part"
