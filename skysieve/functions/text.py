@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions.sky import ARCSEC, col, finite
 
-#: Text values that mean true, lower case.
+#: Text that means true, lower case.
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
 
 

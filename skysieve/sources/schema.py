@@ -26,7 +26,7 @@ SEPARATE: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "stage": (("ra", "RA", "RA_corr", "ALPHAWIN_J2000", "ALPHA_J2000", "RA_ICRS", "RAJ2000"), ("dec", "DEC", "Dec_corr", "DELTAWIN_J2000", "DELTA_J2000", "DE_ICRS", "DEJ2000")),
     "usno": (("ra", "RA", "RA_corr", "ALPHAWIN_J2000", "ALPHA_J2000"), ("dec", "DEC", "Dec_corr", "DELTAWIN_J2000", "DELTA_J2000")),
 }
-#: Names of an object's number in order, and of a row's key.
+#: Names of an object's number in order, and of a row's key.
 OBJECT_IDS = ("NUMBER", "number", "object_id", "objectnumber", "objID")
 KEYS = ("src_id", "row_id")
 
