@@ -12,7 +12,8 @@ and a local union-find keeps a spanning forest instead of all pairs; (5) compone
 propagation between stored tables.
 
 Null texts, empty texts and texts without a word have fingerprint zero and link like any other. Repeated rows and
-repeated ids are separate rows with the same component. An empty table gives an empty table.
+repeated ids are separate rows with the same component. Rows with a null id link like any other, but a component's number
+is the smallest id that isn't null, and null where it has none. Other columns play no part. An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ it is high, the query's largest coordinate bounds the matching coordinate of a c
 otherwise only candidates of length >= bound / |q| stay (length pruning). What is left is verified with exact integer
 products, scores under the bound go, and the best k a query are merged with ties to the smaller id.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, neither do rows without id;
+Defined cases: ids are long integers; vectors that are null or hold null or non-finite components take no part, neither do rows without id;
 vectors of other dimensions than the query's don't meet it; an empty vector is a vector of dimension 0 with all scores
 0; a query isn't a candidate of its own id; rows that repeat an id are each a candidate (and ids that repeat among the
 queries are one query, that of the first row in order of its components); scores beyond 64 bits are cut to 64 bits.

@@ -168,3 +168,11 @@ def test_components_chain(spark, monkeypatch, local):
     found = {r["node"]: r["root"] for r in simhash.components(links).collect()}
     assert all(found[k] == 0 for k in range(1, 61)) and all(found[k] == 200 for k in range(201, 260)) and 200 not in found
     assert simhash.components(links.limit(0)).count() == 0
+
+
+def test_null_ids_and_other_columns(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents([(None, "a b c d e"), (3, "a b c d e"), (7, "a b c d e"), (None, "zz yy xx ww vv")]).withColumns({"id": F.lit("x"), "fp": F.lit(1), "component": F.lit(2), "root": F.lit(3)})
+    found = sorted(((r["id"], r["component"]) for r in simhash.near_duplicates(docs).collect()), key=repr)
+    assert found == [(3, 3), (7, 3), (None, 3), (None, None)]
