@@ -131,3 +131,21 @@ def test_pairs_at_zone_borders(spark, radius_deg, copy):
     got = {(r["id"], r["oid"]) for r in skyjoin.pairs(a, b, radius_deg * 3600, right_coords=("r", "d"), copy=copy).select("id", "oid").collect()}
     sep = lambda p, q: math.degrees(2 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2))))
     assert got == {(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if sep(p, q) <= radius_deg}
+
+
+def test_near_ties_of_tiles_fall_as_in_sql(spark):
+    """Two tiles whose scores differ in the last bit only by how the wrap is rounded (found at ten times sf0.1)."""
+    import duckdb
+
+    from skysieve.operators import plates
+    from skysieve.plans import sky_queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders AS SELECT * FROM (VALUES (206200::BIGINT), (252600), (467400)) t(o_orderkey)")
+    con.execute("CREATE TABLE supplier AS SELECT * FROM (VALUES (9634::BIGINT), (4597), (5050), (13), (2150), (7187)) t(s_suppkey)")
+    con.execute("CREATE TABLE t AS " + sky_queries._TILES)
+    tiles = spark.createDataFrame(con.execute("SELECT * FROM t").fetchall(), "tile_id string, ra0 double, dec0 double, half_w double, half_h double")
+    ra, dec = (f"((o_orderkey * {a}) % {b}) / 10000.0E0" for a, b in ((7919, 3600000), (104729, 1600000)))
+    rows = spark.createDataFrame(con.execute(f"SELECT o_orderkey, {ra}, {dec.replace(') % 1600000', ') % 1600000 - 800000')} FROM orders").fetchall(), "cat_id long, ra double, dec double")
+    found = {r["cat_id"]: r["tile_id"] for r in plates.covering_tile(rows, tiles, "cat_id").collect()}
+    assert found == {206200: "9634", 252600: "5050", 467400: "2150"}
