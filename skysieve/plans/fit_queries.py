@@ -88,7 +88,8 @@ def _robust(degree: int, how: fit.FitConfig) -> str:
 
 
 def _rounded(found):
-    each = lambda c: F.transform(c, lambda x: F.round(x * 3600, 5)).alias(c)
+    # a small negative coefficient rounds to -0.0, as in SQL; F.round alone forgets the sign
+    each = lambda c: F.transform(c, lambda x: F.round(F.abs(x) * 3600, 5) * F.signum(x)).alias(c)
     return [each("coef_ra"), each("coef_dec")]
 
 

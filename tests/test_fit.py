@@ -104,3 +104,15 @@ def test_consensus_counts_by_brute_force(spark):
         counts[d] = int((np.hypot(ox - f @ ra, oy - f @ dec) * 3600 <= 0.4).sum())
     top = max(counts.values())
     assert got["agree"] == top and got["draw"] == min(d for d, c in counts.items() if c == top)
+
+
+def test_rounded_coefficients_keep_the_sign_of_zero_as_sql_does(spark):
+    import duckdb
+
+    from skysieve.plans import fit_queries
+
+    values = [-4e-6, 4e-6, -0.70000123, 0.80000499999, 0.0]
+    frame = spark.createDataFrame([([v / 3600 for v in values], [0.0])], "coef_ra array<double>, coef_dec array<double>")
+    (found,) = frame.select(*fit_queries._rounded(frame)).collect()
+    expected = duckdb.connect().execute("SELECT [round(v / 3600 * 3600, 5) FOR v IN ?]", [values]).fetchone()[0]
+    assert [str(v) for v in found["coef_ra"]] == [str(v) for v in expected] and str(found["coef_ra"][0]) == "-0.0"
