@@ -49,3 +49,10 @@ def test_entry_points_import():
 
     known = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(known) and set(catalog.queries()) <= set(known)
+
+
+def test_uncovered_ids_reads_every_order(spark, tmp_path):
+    """A customer whose only order isn't a twentieth one is covered."""
+    spark.createDataFrame([(1,), (2,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(7, 1)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r["id"] for r in catalog.queries()["uncovered_ids"](spark, str(tmp_path)).collect()] == [2]
