@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skysieve.functions import sky
 from skysieve.functions.sky import finite
 from skysieve.functions.text import epoch_iso, epoch_timestamp, jd
+from skysieve.operators import pyramid
 from skysieve.operators.dedup import first_by
-from skysieve.operators.skyjoin import match_best
 
 
 class LookupFault(ValueError):
@@ -79,9 +79,10 @@ def edge_report(tiles: DataFrame, plates: DataFrame, half_deg: float = 0.25) ->
 
 def nearest_plate(rows: DataFrame, plates: DataFrame, key: str, most_deg: float = 3.5) -> DataFrame:
     """`rows` with plate_id and plate_sep_deg of the nearest plate centre within the limit (null: none)."""
-    slim = plates.select(F.col("plate_id").alias("__plate"), F.col("ra0").alias("__ra"), F.col("dec0").alias("__dec"))
-    best = match_best(rows.select(key, "ra", "dec"), slim, most_deg * 3600.0, key, "__plate", left_coords=("ra", "dec"), right_coords=("__ra", "__dec"))
-    return rows.join(best.select(key, F.col("__plate").alias("plate_id"), (F.col("sep_arcsec") / 3600.0).alias("plate_sep_deg")), key, "left")
+    ra, dec = sky.sanitize("ra", "dec")
+    slim = rows.where(finite("ra", "dec")).select(F.col(key).alias("__id"), ra.alias("__lra"), dec.alias("__ldec"))
+    best = pyramid.partners(slim, plates, "plate_id", ("ra0", "dec0"), most_deg=most_deg)
+    return rows.join(best.select(F.col("__id").alias(key), F.col("__key").alias("plate_id"), (F.col("__sep") / 3600.0).alias("plate_sep_deg")), key, "left")
 
 
 def plate_of_tile(tiles: DataFrame, plates: DataFrame, most_deg: float = 4.0, warn_deg: float = 1.0) -> DataFrame:

@@ -73,3 +73,29 @@ def test_few_leaves_are_compared(spark):
     assert near.groupBy("__id").count().agg(F.max("count")).first()[0] <= 40
     assert placed.groupBy("__level", "__pixel").count().agg(F.max("count")).first()[0] <= 16
     assert skyjoin.nearest(a.selectExpr("__id AS id", "__lra AS ra", "__ldec AS dec"), b.withColumnsRenamed({"ra": "r", "dec": "d"}), "id", "cat", right_coords=("r", "d")).count() == 400
+
+
+def test_cells_of_many_leaves_go_row_by_row(spark):
+    """A crowd far from every left row leaves its cells more leaves than a list may hold."""
+    rng = np.random.default_rng(5)
+    crowd = [(120.0 + float(x), -30.0 + float(y)) for x, y in rng.normal(0, 1e-3, (80, 2))]
+    a = spark.createDataFrame([(k, *p) for k, p in enumerate(sky_points(rng, 40))], "id long, ra double, dec double")
+    b = spark.createDataFrame([(k, *p) for k, p in enumerate(crowd)], "cat long, r double, d double")
+    found = {many: sorted(map(tuple, pyramid.nearest(a, b, "id", "cat", right_coords=("r", "d"), leaf=2, many=many).collect())) for many in (3, 1000)}
+    assert found[3] == found[1000] and len(found[3]) == 40
+
+
+def test_nearest_within_a_wide_limit_moves_no_pairs(spark):
+    """Plates that overlap a hundredfold: each row leaves the join once, and the answers are those of all pairs."""
+    from skysieve.operators import plates
+
+    rng = np.random.default_rng(6)
+    held = [(k, 100.0 + float(x), 20.0 + float(y)) for k, (x, y) in enumerate(rng.uniform(-2, 2, (150, 2)))]
+    p = spark.createDataFrame(held, "plate_id long, ra0 double, dec0 double")
+    rows = [(k, 100.0 + float(x), 20.0 + float(y)) for k, (x, y) in enumerate(rng.uniform(-8, 8, (200, 2)))] + [(900, None, 1.0)]
+    out = plates.nearest_plate(spark.createDataFrame(rows, "id long, ra double, dec double"), p, "id")
+    assert "__zone" not in out._jdf.queryExecution().toString()
+    u = unit(*np.array([h[1:] for h in held]).T)
+    for r in out.collect():
+        gap = np.degrees(2 * np.arcsin(np.linalg.norm(u - unit(*np.array([[r["ra"], r["dec"]]]).T), axis=1) / 2)) if r["ra"] is not None else np.array([9.0])
+        assert r["plate_id"] == (int(gap.argmin()) if gap.min() <= 3.5 else None)
