@@ -20,6 +20,8 @@ from skysieve.session import cut
 
 #: Values of a scope that an aggregate may hold; values of a bracket that are numbered; steps of the sketch's grid.
 GATHER, FEW, GRID = 200_000, 1_000, 128
+#: Brackets that are broadcast at most.
+BROADCAST = 100_000
 
 
 def name_of(q: float) -> str:
@@ -54,8 +56,10 @@ def exact(df: DataFrame, value: str, quantiles: Sequence[float], group: Sequence
 
 
 def _inside(x: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Values within each bracket of their scope, with the bracket's columns."""
-    return x.join(brackets, "__scope").where("__x >= __lo AND __x <= __hi")
+    """Values within each bracket of their scope, with the bracket's columns. Few brackets are broadcast, so that values stay
+    where they are; a shuffle by scope would give a task a whole scope."""
+    few = brackets.select("__scope").limit(BROADCAST + 1).count() <= BROADCAST
+    return x.join(F.broadcast(brackets) if few else brackets, "__scope").where("__x >= __lo AND __x <= __hi")
 
 
 def _narrowed(x: DataFrame, wide: DataFrame) -> DataFrame:

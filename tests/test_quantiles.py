@@ -65,3 +65,16 @@ def test_tasks_hold_few_values(spark, monkeypatch):
     out = quantiles.exact(spark.range(20_000).select((F.pmod(F.col("id") * 104729, F.lit(19_997)) / 3.0).alias("v")), "v", (0.5, 0.9), gather=0)
     text = " ".join(kept) + out._jdf.queryExecution().optimizedPlan().toString()
     assert " percentile(" not in text and "collect_list(__x" not in text and "collect_list(v" not in text and "percentile_approx" in text
+
+
+def test_few_brackets_are_broadcast(spark):
+    """Whatever the planner's estimates say, values aren't shuffled by scope."""
+    values = spark.range(10).selectExpr("'all' AS __scope", "CAST(id AS DOUBLE) AS __x")
+    brackets = spark.createDataFrame([("all", 1, 2.0, 5.0)], "__scope string, __rank long, __lo double, __hi double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = quantiles._inside(values, brackets)
+        assert "BroadcastExchange" in met._jdf.queryExecution().executedPlan().toString() and met.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
