@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions import sky
 from skysieve.functions.sky import finite, sanitize, sep_arcsec
-from skysieve.operators.skyjoin import best_right
+from skysieve.operators.skyjoin import best_right, estimated_bytes
 from skysieve.sources.tables import write_text
 
 LEAF, PIXEL = "leaf", "pixel"
@@ -112,8 +112,14 @@ class PixelCatalogue:
         return rows if leaves is None else rows.where(F.col(LEAF).isin([int(x) for x in leaves]))
 
 
-def write_catalogue(df: DataFrame, path: str, order: int = 8, leaf_order: int = 0, buckets: int = 64, coords: tuple[str, str] = ("ra", "dec")) -> PixelCatalogue:
-    """Stores `df` by leaf and pixel below `path`, with its layout beside it, and returns the layout."""
+def buckets_for(size: int, least: int = 8, each: int = 32 << 20, most: int = 4096) -> int:
+    """Buckets of a table of `size` bytes: `each` bytes a bucket, so a task that writes or joins one doesn't grow with the table."""
+    return max(least, min(most, -(-size // each)))
+
+
+def write_catalogue(df: DataFrame, path: str, order: int = 8, leaf_order: int = 0, buckets: int | None = 64, coords: tuple[str, str] = ("ra", "dec")) -> PixelCatalogue:
+    """Stores `df` by leaf and pixel below `path`, with its layout beside it, and returns the layout; no `buckets`: by the estimated size."""
+    buckets = buckets or buckets_for(estimated_bytes(df))
     spark, name = df.sparkSession, f"pixels_{uuid.uuid4().hex}"
     rows = with_pixel(df, order, coords).withColumn(LEAF, F.shiftright(F.col(PIXEL), 2 * (order - leaf_order)).cast("int"))
     dealt = rows.repartition(buckets, PIXEL)  # by the buckets' own hash: a task writes one bucket, a file a leaf

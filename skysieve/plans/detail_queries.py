@@ -543,7 +543,7 @@ def infrared_partners(spark, d):
 def infrared_by_pixel(spark, d):
     """Exposures stored by pixel, then a join that leaves them in their buckets."""
     seeds = catalogue(spark, d, "gaia").where("cat_id % 2 = 0").selectExpr("cat_id AS opt_source_id", "ra", "dec")
-    stored = pixels.write_catalogue(shots(spark, d), scratch(spark, "pixels"), order=8, buckets=8)
+    stored = pixels.write_catalogue(shots(spark, d), scratch(spark, "pixels"), order=8, buckets=None)
     return composites.infrared_by_pixel(seeds, stored).select("opt_source_id", "cntr", F.round("sep_arcsec", 6).alias("sep"))
 
 

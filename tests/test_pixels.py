@@ -145,3 +145,7 @@ def test_a_stored_catalogue_is_opened_again(spark, stored):
     assert again.read(spark).count() == len(rows) - 2
     with pytest.raises(ValueError, match="too wide"):
         pixels.reached(again.read(spark), 5_000.0, 8)
+
+
+def test_buckets_grow_with_the_table():
+    assert [pixels.buckets_for(s) for s in (0, 1 << 28, 1 << 33, 1 << 60)] == [8, 8, 256, 4096]
