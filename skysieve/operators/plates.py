@@ -10,6 +10,7 @@ from skysieve.functions.sky import finite
 from skysieve.functions.text import epoch_iso, epoch_timestamp, jd
 from skysieve.operators import pyramid
 from skysieve.operators.dedup import first_by
+from skysieve.operators.skyjoin import estimated_bytes
 
 
 class LookupFault(ValueError):
@@ -118,16 +119,29 @@ def missing_plates(rows: DataFrame, held: DataFrame, plate: str = "plate_id") ->
     return rows.where(F.col(plate).isNotNull()).join(held.select(plate).distinct(), plate, "left_anti").groupBy(plate).agg(F.count("*").alias("n")).orderBy(F.desc("n"), plate)
 
 
-def overlapping_tiles(a: DataFrame, b: DataFrame, size_deg: float, least: float, band_deg: float = 10.0) -> DataFrame:
-    """Pairs of tiles (a, b) whose shared area is at least a fraction of a tile; `b` columns take the suffix _b."""
+def overlapping_tiles(a: DataFrame, b: DataFrame, size_deg: float, least: float) -> DataFrame:
+    """Pairs of tiles (a, b) whose shared area is at least a fraction (over 0) of a tile; `b` columns take the suffix _b.
+
+    Zones are one tile high and a zone's RA cells as wide as two tiles' widths can reach there, so a tile meets its surroundings
+    only. The smaller side is copied to the cells that it reaches.
+    """
     other = b.withColumnsRenamed({c: f"{c}_b" for c in b.columns})
-    bins = lambda ra, dec: (F.floor(sky.wrap360(ra) / band_deg).cast("int"), F.floor((F.col(dec) + 90.0) / band_deg).cast("int"))
-    n = int(360 / band_deg)
-    ra_a, dec_a = bins("ra", "dec")
-    ra_b, dec_b = bins("ra_b", "dec_b")
-    left = a.withColumn("__r", ra_a).withColumn("__d", dec_a)
-    right = other.withColumn("__d", F.explode(F.array(dec_b - 1, dec_b, dec_b + 1))).withColumn("__r", F.explode(F.array(*[F.pmod(ra_b + k, F.lit(n)) for k in (-1, 0, 1)])))
-    met = left.join(right, ["__r", "__d"]).withColumn("overlap", sky.overlap_fraction("ra", "dec", "ra_b", "dec_b", size_deg))
+    top = F.least(F.lit(90.0), F.greatest(F.abs(F.col("__d") * size_deg - 90.0), F.abs((F.col("__d") + 1) * size_deg - 90.0)) + size_deg / 2.0 + 1e-9)
+    reach = size_deg / F.greatest(F.lit(1e-12), F.cos(F.radians(top))) * (1 + 1e-9) + 1e-9
+    n = F.when(top >= 89.999, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / reach))).cast("long")
+    zone = lambda dec: F.floor((dec + 90.0) / size_deg).cast("long")
+    cell = lambda ra: F.pmod(F.floor(ra * n / 360.0).cast("long"), n)
+
+    def dealt(rows: DataFrame, ra: str, dec: str, copies: bool) -> DataFrame:
+        rows = rows.where(finite(ra, dec))
+        if not copies:
+            return rows.withColumn("__d", zone(F.col(dec))).withColumn("__r", cell(sky.wrap360(ra)))
+        pad = size_deg * (1 + 1e-9) + 1e-9
+        each = rows.withColumn("__d", F.explode(F.sequence(zone(F.col(dec) - pad), zone(F.col(dec) + pad))))
+        return each.withColumn("__r", F.explode(F.array_distinct(F.array(*[cell(sky.wrap360(ra) + k * reach) for k in (-1, 0, 1)]))))
+
+    copied = estimated_bytes(a) < estimated_bytes(b)
+    met = dealt(a, "ra", "dec", copied).join(dealt(other, "ra_b", "dec_b", not copied), ["__r", "__d"]).withColumn("overlap", sky.overlap_fraction("ra", "dec", "ra_b", "dec_b", size_deg))
     return met.where(F.col("overlap") >= least).drop("__r", "__d")
 
 

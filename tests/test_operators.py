@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,36 @@ def test_moving_objects(spark):
     assert got == {"a": (True, False, 1), "b": (False, True, 1), "c": (False, False, 0), "d": (False, False, 0)}
     back = stages.skybot_stage(rows, objects, fallback=spark.createDataFrame([(50.0, 0.0)], "ra double, dec double"), cap=5)
     assert back.flags.where("src_id = 'c'").first()["has_skybot_match"]
+
+
+def test_overlapping_tiles_meet_near_the_pole_and_over_zero(spark):
+    a = spark.createDataFrame([(1, 10.0, 89.7), (2, 0.1, 5.0), (3, 200.0, -89.9), (4, None, 0.0)], "id long, ra double, dec double")
+    b = spark.createDataFrame([(1, 70.0, 89.7), (2, 359.9, 5.2), (3, 20.0, -89.9), (4, 0.4, 5.4), (5, 1.0, 5.0)], "id long, ra double, dec double")
+    wanted = set()
+    for x in a.where("ra IS NOT NULL").collect():
+        for y in b.collect():
+            gap = abs((x["ra"] - y["ra"] + 180) % 360 - 180) * math.cos(math.radians((x["dec"] + y["dec"]) / 2))
+            if max(0.0, 0.5 - gap) * max(0.0, 0.5 - abs(x["dec"] - y["dec"])) / 0.25 >= 0.05:
+                wanted.add((x["id"], y["id"]))
+    assert (1, 1) in wanted and (2, 2) in wanted
+    for left, right, turn in ((a, b, 1), (b, a, -1)):
+        assert {(r["id"], r["id_b"])[::turn] for r in plates.overlapping_tiles(left, right, 0.5, 0.05).collect()} == wanted
+
+
+def test_flag_tables_of_one_key_are_one_join(spark):
+    base = spark.range(6).selectExpr("id", "id % 2 AS n")
+    side = lambda name, k: base.where(f"id % {k} = 0").selectExpr("id", "n", f"'yes' AS {name}")
+    out = flags.masked_union(base, {"a": (side("a", 2), "id"), "b": (side("b", 3), "n"), "c": (side("c", 5), "id")})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(k, k % 2, k % 2 == 0, True, k % 5 == 0) for k in range(6)]
+
+
+def test_one_pass_of_vetoes_by_key(spark):
+    """Rows of one key share its hits; null keys and rows without a position carry on."""
+    rows = spark.createDataFrame([("a", 10.0, 0.0), ("a", 50.0, 0.0), ("b", 20.0, 0.0), (None, 10.0, 0.0), ("c", None, 0.0)], "src_id string, ra double, dec double")
+    one = spark.createDataFrame([(10.0, 0.0), (10.0, 0.0), (10.0001, 0.0)], "ra double, dec double")
+    two = spark.createDataFrame([(50.0, 0.0), (20.0, 0.0)], "ra double, dec double")
+    kept, account = stages.cascade(rows, [("one", one), ("two", two)])
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.where("src_id IS NULL OR src_id = 'c'").collect()))
+    assert [tuple(r) for r in account.orderBy("step").collect()] == [(1, "one", 5, 3, 2, 6), (2, "two", 3, 2, 1, 1)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
