@@ -26,14 +26,18 @@ def status(xml: Column) -> Column:
 
 
 def rows(tables: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(file, row, one text column a name): cells by the position of the field with that ID or name; absent: null."""
+    """(file, row, one text column a name): cells by the position of the field with that ID or name; absent: null.
+
+    Positions are found once a file, below the generator: what stands beside it would parse the file again for each row.
+    """
     fields = F.xpath("xml", F.lit("//TABLE[1]/FIELD/@ID | //TABLE[1]/FIELD[not(@ID)]/@name"))
     labels = F.xpath("xml", F.lit("//TABLE[1]/FIELD/@name"))
-    each = tables.select("file", fields.alias("ids"), labels.alias("labels"), F.posexplode(F.expr("split(xml, '<TR>')")).alias("row", "tr")).where("row > 0")
+    at = F.array(*[F.greatest(F.array_position("ids", n), F.array_position("labels", n)).cast("int") for n in names])
+    files = tables.select("file", "xml", fields.alias("ids"), labels.alias("labels")).select("file", "xml", at.alias("at"))
+    each = files.select("file", "at", F.posexplode(F.expr("split(xml, '<TR>')")).alias("row", "tr")).where("row > 0")
     cells = F.expr(r"regexp_extract_all(tr, '<TD[^>]*?(?:/>|>([^<]*)</TD>)', 1)")
-    at = lambda n: F.greatest(F.array_position("ids", n), F.array_position("labels", n))
-    pick = lambda n: F.when(at(n) > 0, F.nullif(F.trim(F.try_element_at("cells", at(n).cast("int"))), F.lit("")))
-    return each.withColumn("cells", cells).select("file", "row", *[pick(n).alias(n) for n in names])
+    pick = lambda k: F.when(F.col("at")[k] > 0, F.nullif(F.trim(F.try_element_at("cells", F.col("at")[k])), F.lit("")))
+    return each.withColumn("cells", cells).select("file", "row", *[pick(k).alias(n) for k, n in enumerate(names)])
 
 
 def positions(found: DataFrame, decimal: tuple[str, str] = ("_raj2000", "_decj2000"), sexa: tuple[str, str] = ("RA", "DEC")) -> DataFrame:

@@ -229,3 +229,12 @@ def test_uploads_by_chunk(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         votable.write_uploads(bad, str(tmp_path / "v"), 100)
     assert not list((tmp_path / "v").rglob("*.txt"))
+
+
+def test_votable_is_parsed_once_a_file(spark, tmp_path):
+    """No row of a table parses its file again: XPath stands below the generator of rows."""
+    (tmp_path / "t.xml").write_text('<VOTABLE><TABLE><FIELD name="a"/><FIELD ID="b" name="c"/><TR><TD>1</TD><TD>x</TD></TR><TR><TD/><TD> </TD></TR></TABLE></VOTABLE>')
+    read = votable.rows(votable.read_votables(spark, str(tmp_path)), ["a", "b", "c", "d"])
+    above, found, below = read._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert found and "XPath" not in above and "XPath" in below
+    assert sorted((r["row"], r["a"], r["b"], r["c"], r["d"]) for r in read.collect()) == [(1, "1", "x", "x", None), (2, None, None, None, None)]
