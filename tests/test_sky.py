@@ -149,3 +149,20 @@ def test_near_ties_of_tiles_fall_as_in_sql(spark):
     rows = spark.createDataFrame(con.execute(f"SELECT o_orderkey, {ra}, {dec.replace(') % 1600000', ') % 1600000 - 800000')} FROM orders").fetchall(), "cat_id long, ra double, dec double")
     found = {r["cat_id"]: r["tile_id"] for r in plates.covering_tile(rows, tiles, "cat_id").collect()}
     assert found == {206200: "9634", 252600: "5050", 467400: "2150"}
+
+
+def test_copied_cells_are_worked_out_once(spark):
+    """No generator of copies works out a zone's cells: long generators aren't compiled. Cells are distinct and hold the circle's ends."""
+    from skysieve.operators import skyjoin
+
+    rows = [(k, (k * 37.77) % 360.0, d) for k, d in enumerate([-90.0, -89.99, -60.0, -0.001, 0.0, 33.3, 89.5, 90.0])] + [(90, 359.9999, 10.0), (91, 0.0001, -10.0)]
+    df = spark.createDataFrame(rows, "id long, ra double, dec double")
+    for radius in (2.0, 600.0, 3600.0 * 3.5, 3600.0 * 80):
+        copied, own = skyjoin.zoned(df, ("ra", "dec"), radius, True), skyjoin.zoned(df, ("ra", "dec"), radius, False)
+        made = [line for line in copied._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate " in line]
+        assert len(made) == 2 and not any("ASIN" in line or "COS" in line for line in made)
+        keys = lambda d: [(r["id"], r[skyjoin.ZONE], r[skyjoin.CELL]) for r in d.collect()]
+        cells = keys(copied)
+        assert len(cells) == len(set(cells)) and set(keys(own)) <= set(cells)
+        met = skyjoin.pairs(df, df, radius, copy="left").count()
+        assert met == df.alias("a").crossJoin(df.alias("b")).where(skyjoin.sep_arcsec("a.ra", "a.dec", "b.ra", "b.dec") <= radius).count()
