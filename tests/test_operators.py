@@ -182,3 +182,20 @@ def test_flag_tables_of_one_key_are_one_join(spark):
     out = flags.masked_union(base, {"a": (side("a", 2), "id"), "b": (side("b", 3), "n"), "c": (side("c", 5), "id")})
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
     assert [tuple(r) for r in out.orderBy("id").collect()] == [(k, k % 2, k % 2 == 0, True, k % 5 == 0) for k in range(6)]
+
+
+def test_manifest_groups_linked_rows_only(spark):
+    """Ids are made unique once in the manifest's plan; a cluster over tiles keeps its core member, a row without a number its tile's core."""
+    from skysieve.plans import stages
+
+    near = 0.1 / 3600
+    rows = [("t:1", "5", 10.0, 0.0, 1), ("t:2", "5", 10.0 + near, 0.0, 1), ("t:2", "6", 10.0, 0.0, 2), ("t:1", "9", 10.0, near, 1), ("t:2", None, 50.0, 1.0, 1), ("t:3", "1", 70.0, 1.0, 1), ("t:2", "5", 11.0, 0.0, 1)]
+    tiles = spark.createDataFrame(rows, "tile_id string, object_id string, ra double, dec double, plate_id int")
+    edge = spark.createDataFrame([("t:1", "near_edge", "edge"), ("t:2", "core", "edge")], "tile_id string, class_px string, class_arcsec string")
+    made = stages.build_candidates(tiles, eligible=spark.createDataFrame([("t:1",), ("t:2",)], "tile_id string"), edge=edge)
+    assert {r["src_id"]: r["is_core"] for r in made["all"].collect()} == {"t:2:5": True, "t:2:6": True}
+    assert {r["src_id"]: r["cluster_id"] for r in made["members"].collect()} == {"t:1:5": "t:1:5", "t:2:5": "t:1:5", "t:1:9": "t:1:5", "t:2:6": "t:2:6", None: None}
+    assert {tuple(r[c] for c in ("tile_id", "n_emitted", "n_rows", "n_kept", "n_core")) for r in made["manifest"].collect()} == {("t:1", 2, 2, 0, 0), ("t:2", 4, 3, 2, 3)}
+    assert made["manifest"]._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    alone = stages.build_candidates(tiles, eligible=spark.createDataFrame([], "tile_id string"))
+    assert {r["src_id"] for r in alone["stage"].collect()} == {"t:1:5", "t:2:6", "t:3:1"}
