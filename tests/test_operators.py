@@ -199,3 +199,19 @@ def test_manifest_groups_linked_rows_only(spark):
     assert made["manifest"]._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     alone = stages.build_candidates(tiles, eligible=spark.createDataFrame([], "tile_id string"))
     assert {r["src_id"] for r in alone["stage"].collect()} == {"t:1:5", "t:2:6", "t:3:1"}
+
+
+def test_tile_lists_move_no_rows(spark, monkeypatch):
+    """Lists of tiles are broadcast up to a number of tiles, and joined with the same result beyond it."""
+    from skysieve.plans import stages
+
+    tiles = spark.createDataFrame([(f"t{k % 3}", str(k), k * 1.0, 0.0, 1) for k in range(9)], "tile_id string, object_id string, ra double, dec double, plate_id int")
+    eligible, edge = spark.createDataFrame([("t0",), ("t0",), ("t1",)], "tile_id string"), spark.createDataFrame([("t1", "core", "edge")], "tile_id string, class_px string, class_arcsec string")
+    run = lambda: stages.build_candidates(tiles, eligible=eligible, edge=edge)["all"]
+    few = run()
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2
+    monkeypatch.setattr(stages, "FEW_TILES", 1)
+    many = run()
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert [(r["tile_id"], r["is_core"]) for r in few.select("tile_id", "is_core").distinct().orderBy("tile_id").collect()] == [("t0", False), ("t1", True)]
