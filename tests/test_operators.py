@@ -215,3 +215,18 @@ def test_tile_lists_move_no_rows(spark, monkeypatch):
     assert many._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     assert [(r["tile_id"], r["is_core"]) for r in few.select("tile_id", "is_core").distinct().orderBy("tile_id").collect()] == [("t0", False), ("t1", True)]
+
+
+def test_flag_stage_joins_rows_once(spark):
+    """Rows meet their matches in one join whatever the catalogues, and keys that repeat don't multiply them."""
+    from skysieve.plans import stages
+
+    rows = spark.createDataFrame([("a", 10.0, 0.0), ("a", 10.0, 0.0), ("b", 20.0, 0.0), ("c", 30.0, 0.0), (None, 10.0, 0.0)], "src_id string, ra double, dec double")
+    sky_a = spark.createDataFrame([(10.0, 0.0), (10.0, 0.0001)], "ra double, dec double")
+    sky_b = spark.createDataFrame([(10.0, 0.0), (20.0, 0.0)], "ra double, dec double")
+    flags = stages.flag_stage(rows, {"a": sky_a, "b": sky_b}).flags
+    assert flags.columns == ["src_id", "ra", "dec", "has_a_match", "has_b_match", "any_match"]
+    got = sorted((r["src_id"] or "", r["has_a_match"], r["has_b_match"], r["any_match"]) for r in flags.collect())
+    assert got == [("", False, False, False), ("a", True, True, True), ("a", True, True, True), ("b", False, True, True), ("c", False, False, False)]
+    assert flags._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    assert stages.flag_stage(rows, {}).flags.where("any_match").count() == 0
