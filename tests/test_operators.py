@@ -230,3 +230,38 @@ def test_flag_stage_joins_rows_once(spark):
     assert got == [("", False, False, False), ("a", True, True, True), ("a", True, True, True), ("b", False, True, True), ("c", False, False, False)]
     assert flags._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
     assert stages.flag_stage(rows, {}).flags.where("any_match").count() == 0
+
+
+def test_manifest_makes_only_crowded_rows_unique(spark, monkeypatch):
+    """Rows alone in their cells reach neither the sky join nor the grouping; lists of keys too long to be broadcast give the same."""
+    from skysieve.plans import stages
+
+    near = 0.1 / 3600
+    lone = [(f"t{k % 3}", k, k * 1.0, k * 0.5, k % 2) for k in range(60)]
+    rows = lone + [("t0", 100, 5.0, 2.5 + near, 1), ("t1", 101, 5.0, 2.5 - near, 1), ("t0", 102, 7.0, 3.5, 0), ("t1", 103, 9.0, 80.0, 1), ("t1", 103, 9.0, 4.5, 1)]
+    tiles = spark.createDataFrame(rows, "tile_id string, object_id bigint, ra double, dec double, plate_id int")
+    seen, links = [], dedup.links
+    monkeypatch.setattr(dedup, "links", lambda df, *a: seen.append({r["src_id"] for r in df.collect()}) or links(df, *a))
+    made = stages.build_candidates(tiles)
+    # beside 9 lies the first row of 103; 7 and 102 are of two plates
+    assert seen == [{"t0:9", "t1:103", "t2:5", "t0:100", "t1:101"}]
+    linked = {r["src_id"]: r["cluster_id"] for r in made["members"].collect() if r["src_id"] != r["cluster_id"]}
+    assert linked == {"t1:101": "t0:100", "t2:5": "t0:100", "t1:103": "t0:9"}
+    want = [("t0", 22, 22, 22, 22), ("t1", 22, 20, 22, 23), ("t2", 20, 19, 20, 20)]
+    got = lambda d: sorted(tuple(r[c] for c in ("tile_id", "n_rows", "n_kept", "n_core", "n_emitted")) for r in d.collect())
+    assert got(made["manifest"]) == want
+    monkeypatch.setattr(dedup, "FEW_KEYS", 0)
+    assert got(stages.build_candidates(tiles)["manifest"]) == want and seen[1] == seen[0]
+
+
+def test_crowded_rows_hold_every_link(spark):
+    """Both ends of every pair within the tolerance are crowded: on cell edges, over RA 0, at the poles; a lone row isn't."""
+    rng = np.random.default_rng(5)
+    n = 1500
+    dec = np.r_[rng.uniform(-0.003, 0.003, n), rng.uniform(89.9992, 90, n), rng.uniform(-90, -89.9992, n)]
+    ra = np.r_[rng.uniform(-0.003, 0.003, n) % 360, rng.uniform(0, 360, 2 * n)]
+    df = spark.createDataFrame([(k, float(ra[k]), float(dec[k]), k % 3) for k in range(3 * n)] + [(-1, 100.0, 45.0, 0), (-2, float("nan"), 45.0, 0)], "id long, ra double, dec double, plate int").cache()
+    for tol in (0.25, 2.0):
+        ends = {k for r in dedup.cluster_pairs(df, tol, "id", ["plate"]).collect() for k in r}
+        met = {r["id"] for r in dedup.crowded(df, tol, ["plate"]).collect()}
+        assert len(ends) > 50 and ends <= met and not met & {-1, -2}
